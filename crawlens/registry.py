@@ -1,0 +1,6 @@
+"""Queries and oracle SQL of the audit engine's own operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
