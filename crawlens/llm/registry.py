@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from crawlens.llm import quality_rules
+from crawlens.llm import quality_rules, simhash, url_filter
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
+    "op5_simhash": simhash.query,
+    "op7_url_filter": url_filter.query,
+}
+ORACLES: dict[str, str] = {
+    "op7_url_filter": url_filter.ORACLE,
 }
-ORACLES: dict[str, str] = {}
