@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from crawlens.llm import quality_rules, simhash, url_filter
+from crawlens.llm import mixing, quality_rules, secrets, simhash, url_filter
 
 QUERIES = {
+    "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
     "op5_simhash": simhash.query,
     "op7_url_filter": url_filter.query,
+    "op9_secrets": secrets.query,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": url_filter.ORACLE,
