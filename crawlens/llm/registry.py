@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crawlens.llm import mixing, quality_rules, secrets, simhash, url_filter
+from crawlens.llm import mixing, quality_model, quality_rules, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_quality_model": quality_model.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
     "op5_simhash": simhash.query,
