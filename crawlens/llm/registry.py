@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from crawlens.llm import mixing, quality_model, quality_rules, secrets, simhash, url_filter
+from crawlens.llm import mixing, nearest, pieces, quality_model, quality_rules, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_quality_model": quality_model.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_pieces": pieces.query,
     "op5_simhash": simhash.query,
     "op7_url_filter": url_filter.query,
     "op9_secrets": secrets.query,
+    "op10_nearest": nearest.query,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": url_filter.ORACLE,
