@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlens.llm import mixing, nearest, pieces, quality_model, quality_rules, secrets, simhash, url_filter
+from crawlens.llm import mixing, nearest, pieces, quality_model, quality_rules, secrets, simhash, substrings, url_filter
 
 QUERIES = {
     "op1_quality_model": quality_model.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_pieces": pieces.query,
     "op5_simhash": simhash.query,
     "op7_url_filter": url_filter.query,
+    "op8_substrings": substrings.query,
     "op9_secrets": secrets.query,
     "op10_nearest": nearest.query,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": url_filter.ORACLE,
+    "op8_substrings": substrings.ORACLE,
 }
