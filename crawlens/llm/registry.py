@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlens.llm import mixing, nearest, pieces, quality_model, quality_rules, secrets, simhash, substrings, url_filter
+from crawlens.llm import mixing, nearest, pieces, quality_model, quality_rules, secrets, simhash, substrings, suffixes, url_filter
 
 QUERIES = {
     "op1_quality_model": quality_model.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_pieces": pieces.query,
     "op5_simhash": simhash.query,
+    "op6_suffixes": suffixes.query,
     "op7_url_filter": url_filter.query,
     "op8_substrings": substrings.query,
     "op9_secrets": secrets.query,
