@@ -164,5 +164,12 @@ def _repaired(out: DataFrame, cap: int) -> DataFrame:
     return joined.withColumn("copies", F.col("copies") + F.when(mine, F.col("step")).otherwise(0)).select(*out.columns)
 
 
+def copied(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents, each as often as the mix takes it; rows without an id once."""
+    rates = mixed(docs, id_col=id_col, **options).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").cast("int").alias("_mix_copies"))
+    joined = docs.join(rates, docs[id_col] == rates["_mix_id"], "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(1)))
+    return joined.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+
+
 def query(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents"))

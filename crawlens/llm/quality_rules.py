@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from crawlens.llm.common import texts
 
@@ -108,6 +108,13 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     )
 
 
+def _bits(rules: tuple[Rule, ...]) -> Column:
+    bits = F.lit(0).cast("long")
+    for r in rules:
+        bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, every measurement, and ``fail_bits``."""
 
@@ -119,10 +126,21 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
     measured = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, ddl)
-    bits = F.lit(0).cast("long")
-    for r in rules:
-        bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", _bits(rules))
+
+
+def kept(docs: DataFrame, policy: str | tuple[str, ...] = "v2", rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with their own columns; no join, so repeated rows and null ids are no matter."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("_row").field(text_col).cast(pa.binary()).to_pylist()
+            rows = np.array([measure(t) for t in own], np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], names=["_row", *MEASURES])
+
+    measured = whole.mapInArrow(run, T.StructType([*whole.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
+    return measured.withColumn("fail_bits", _bits(rules)).where(passes(policy, rules)).select("_row.*")
 
 
 def passes(policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> Column:
