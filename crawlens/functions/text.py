@@ -14,7 +14,7 @@ PRICE = rf"{PRICE_BEFORE}|{PRICE_AFTER}"
 PHONE = r"(?<![\w/.-])\+?\(?\d[\d\s().\-\u00a0]{5,20}\d(?![\w/-])"
 DATE_LIKE = r"^\s*(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4})\s*$"
 EMAIL = r"(?<![\w@.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?!png\b|jpe?g\b|svg\b|webp\b|gif\b)[A-Za-z]{2,}\b"
-SENTENCE = r"[^.!?]{25,}?[.!?]"
+SENTENCE = r"[^.!?]{25,}+[.!?]"  # no terminator can be inside, so a possessive run finds the shortest match
 QUESTION = r"(?i)^\s*(what|who|why|how|when|where|which|can|do|does|is|are|will|should)\b.*\?\s*$"
 REFERRING = r"(?i)^\s*(this|these|those|it|they|our platform|our product|the above|as mentioned|as noted|as described above|the former|the latter)\b"
 LEGAL_SUFFIX = r"(?i)\b(inc|ltd|llc|l\.l\.c|gmbh|s\.a|sa|plc|co|corp|corporation|limited)\b\.?"

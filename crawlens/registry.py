@@ -1,6 +1,288 @@
-"""Queries and oracle SQL of the audit engine's own operators."""
+"""Queries of the audit engine over the given tables, with DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from crawlens.functions import text as X, urls as U
+from crawlens.operators import checks, claims, evaluation, robots, severity
+from crawlens.plans import audit
+from crawlens.sources.storage import stored
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if oracle:
+            ORACLES[name] = oracle
+        return fn
+
+    return add
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(audit.prepared(audit.stored_pages(spark, sf_dir)), "parsed")
+
+
+# --- URLs -------------------------------------------------------------------------------------------------------------
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+_BARE = rf"regexp_replace({_HOST}, '^www\.', '')"
+_PATH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1)"
+_NORM = rf"""lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || {_HOST} ||
+  CASE WHEN {_PATH} = '' THEN '/' WHEN length({_PATH}) > 1 AND ends_with({_PATH}, '/') THEN left({_PATH}, -1) ELSE {_PATH} END ||
+  CASE WHEN regexp_extract(url, '^[^?#]*\?([^#]*)', 1) <> '' THEN '?' || regexp_extract(url, '^[^?#]*\?([^#]*)', 1) ELSE '' END"""
+
+
+@query("url_normalise", f"SELECT page_id, {_NORM} AS url FROM pages")
+def url_normalise(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", U.normalised(F.col("url")).alias("url"))
+
+
+@query("url_role", f"SELECT page_id, CASE WHEN {_PATH} IN ('', '/') THEN 'home' " + " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{r}'" for r, p in U.ROLE_PATHS) + " ELSE 'generic' END AS role FROM pages")
+def url_role(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", U.role(F.col("url")).alias("role"))
+
+
+@query("host_page_counts", f"SELECT {_HOST} AS host, count(*) AS n_pages FROM pages GROUP BY 1")
+def host_page_counts(spark, sf_dir):
+    return pages(spark, sf_dir).groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n_pages"))
+
+
+@query("same_site_collapse", f"SELECT {_BARE} AS site, count(*) AS n_pages, count(DISTINCT {_HOST}) AS n_hosts FROM pages GROUP BY 1")
+def same_site_collapse(spark, sf_dir):
+    return pages(spark, sf_dir).groupBy(U.bare_host(F.col("url")).alias("site")).agg(F.count("*").alias("n_pages"), F.count_distinct(U.host(F.col("url"))).alias("n_hosts"))
+
+
+@query("first_seen_url", f"SELECT url, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS k FROM (SELECT page_id, {_NORM.replace('url,', 'pages.url,')} AS url FROM pages)) WHERE k = 1")
+def first_seen_url(spark, sf_dir):
+    return pages(spark, sf_dir).groupBy(U.normalised(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
+
+
+@query("site_top2", f"SELECT site, url, k FROM (SELECT {_BARE} AS site, url, row_number() OVER (PARTITION BY {_BARE} ORDER BY url) AS k FROM pages) WHERE k <= 2")
+def site_top2(spark, sf_dir):
+    site = U.bare_host(F.col("url"))
+    return pages(spark, sf_dir).select(site.alias("site"), "url").withColumn("k", F.row_number().over(W.partitionBy("site").orderBy("url"))).where("k <= 2")
+
+
+@query("asset_and_sitemap_urls", f"SELECT page_id, regexp_matches({_PATH}, '{U.ASSET}') AS asset, regexp_matches({_PATH}, '{U.SITEMAP}') AS sitemap FROM pages")
+def asset_and_sitemap_urls(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", U.is_asset(F.col("url")).alias("asset"), U.is_sitemap(F.col("url")).alias("sitemap"))
+
+
+# --- parsed pages -----------------------------------------------------------------------------------------------------
+_TITLE = "trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query("page_basics", f"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, {_TITLE} AS title, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS n_h1, NOT regexp_matches(html, '(?i)<meta name=\"viewport\"') AS no_viewport, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_anchors FROM pages")
+def page_basics(spark, sf_dir):
+    p = parsed(spark, sf_dir)
+    return p.select(F.col("page_seq").alias("page_id"), "f.lang", "f.title", F.size("f.h1").cast("long").alias("n_h1"), F.col("f.viewport").isNull().alias("no_viewport"), F.size("f.anchors").cast("long").alias("n_anchors"))
+
+
+@query("title_shared", f"SELECT title, count(*) AS n FROM (SELECT {_TITLE} AS title FROM pages) WHERE title <> '' GROUP BY 1 HAVING count(*) >= 3")
+def title_shared(spark, sf_dir):
+    return parsed(spark, sf_dir).where("f.title <> ''").groupBy(F.col("f.title").alias("title")).agg(F.count("*").alias("n")).where(F.col("n") >= checks.SHARED_TITLE)
+
+
+@query("viewport_findings", f"""SELECT site_id, CAST(count(*) AS BIGINT) AS n_urls, CASE WHEN count(*) >= any_value(total) THEN 'site_wide' ELSE 'template' END AS blast_radius, 'medium' AS severity
+FROM (SELECT {_BARE} AS site_id, html, count(*) OVER (PARTITION BY {_BARE}) AS total FROM pages) WHERE NOT regexp_matches(html, '(?i)<meta name="viewport"') GROUP BY 1""")
+def viewport_findings(spark, sf_dir):
+    p = parsed(spark, sf_dir)
+    totals = checks.readable(p).groupBy("site_id").agg(F.count("*").alias("total"))
+    f = severity.graded(checks.findings(checks.page_hits(p).where("check_id = 'E11_no_viewport'"), totals))
+    return f.select("site_id", F.size("affected_urls").cast("long").alias("n_urls"), "blast_radius", "severity")
+
+
+@query("ranked_findings")
+def ranked_findings(spark, sf_dir):
+    f = audit.graded_findings(parsed(spark, sf_dir))
+    return f.select("site_id", "rank", "id", "check_id", "title", "severity", "priority_score", "gate", "mechanism", "hurts", "status", "blast_radius", "affected_urls", "evidence", "severity_rationale")
+
+
+@query("site_reports")
+def site_reports(spark, sf_dir):
+    return audit.report(stored(audit.graded_findings(parsed(spark, sf_dir)), "findings"))
+
+
+@query("page_profiles")
+def page_profiles(spark, sf_dir):
+    return audit.profiles(parsed(spark, sf_dir))
+
+
+@query("proactive_rules")
+def proactive_rules(spark, sf_dir):
+    p = parsed(spark, sf_dir)
+    sites = p.select("site_id").distinct().withColumns({"llms_txt": F.lit(False), "ai_agents_named": F.lit(False)})
+    return audit.proactive(p, audit.graded_findings(p), sites)
+
+
+@query("check_fire_rates")
+def check_fire_rates(spark, sf_dir):
+    p = parsed(spark, sf_dir)
+    f = audit.graded_findings(p).withColumnRenamed("site_id", "slug")
+    return evaluation.fire_rate(f, p.select("site_id").distinct().count())
+
+
+# --- text recognisers over documents ----------------------------------------------------------------------------------
+@query("word_counts", r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\t\n\x0B\f\r ]+')) AS BIGINT) AS n_words FROM documents")
+def word_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.words(F.col("text")).cast("long").alias("n_words"))
+
+
+@query("email_docs", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^0-9A-Za-z_@.+-])[0-9A-Za-z_.+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b')")
+def email_docs(spark, sf_dir):
+    return documents(spark, sf_dir).where(X.email(F.col("text")).isNotNull()).select("doc_id")
+
+
+@query("phone_docs")
+def phone_docs(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.phone(F.col("text")).alias("phone")).where("phone IS NOT NULL")
+
+
+_SENT = r"list_transform(regexp_extract_all(text, '[^.!?]{25,}?[.!?]'), lambda s: lower(trim(regexp_replace(s, '[\t\n\x0B\f\r ]+', ' ', 'g'))))"
+
+
+@query("common_sentences", f"""WITH s AS (SELECT source, doc_id, unnest(list_distinct({_SENT})) AS s FROM documents),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 4)
+SELECT source, s AS sentence, count(*) AS n_docs FROM s JOIN n USING (source) GROUP BY source, s, n HAVING count(*) >= greatest(2, floor(n * 0.05))""")
+def common_sentences(spark, sf_dir):
+    """Sentences that one in twenty documents of a source share."""
+    d = documents(spark, sf_dir)
+    s = d.select("source", F.explode(F.array_distinct(X.sentences(F.col("text")))).alias("sentence")).groupBy("source", "sentence").agg(F.count("*").alias("n_docs"))
+    n = d.groupBy("source").agg(F.count("*").alias("n")).where("n >= 4")
+    return s.join(n, "source").where(F.col("n_docs") >= F.greatest(F.lit(2), F.floor(F.col("n") * 0.05))).select("source", "sentence", "n_docs")
+
+
+# --- fixed inputs: severity, robots, evaluation -----------------------------------------------------------------------
+def _values(rows, names: str) -> str:
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names}))"
+
+
+_CASES = [(b, c, m, s, n) for b in ("site_wide", "template", "single_page") for c in ("deterministic", "heuristic") for m in ("static_fact", "static_heuristic") for s in ("active", "latent", "confirm_intent") for n in (1, 5)]
+_LEVEL = "list_position(['info', 'low', 'medium', 'high', 'critical'], {}) - 1"
+_MATRIX = f"""WITH base AS (SELECT *, {_LEVEL.format('base')} AS l FROM {_values(severity.SEVERITY, 'check_id, base, gate, mechanism')} CROSS JOIN {_values(_CASES, 'blast_radius, confidence, measurement_basis, status, coverage_pages')}),
+a AS (SELECT *, CASE WHEN coverage_pages >= 3 AND blast_radius = 'single_page' AND l > 0 THEN l - 1 ELSE l END AS l1 FROM base),
+b AS (SELECT *, least(l1, CASE WHEN check_id = 'R_agent_review' THEN 1 ELSE 4 END, CASE WHEN measurement_basis = 'static_heuristic' THEN 2 ELSE 4 END, CASE WHEN confidence = 'heuristic' THEN 3 ELSE 4 END, CASE WHEN status <> 'active' THEN 1 ELSE 4 END) AS l2 FROM a)"""
+_HURTS = f"CASE WHEN check_id IN ({', '.join(repr(c) for c in severity.BOTH)}) THEN 'both' WHEN gate = 'engagement' THEN 'user_retention' ELSE 'ai_discoverability' END"
+
+
+def _matrix(spark):
+    case = spark.createDataFrame(_CASES, "blast_radius string, confidence string, measurement_basis string, status string, coverage_pages int")
+    each = severity.dimension(spark).select("check_id", F.explode(F.array(F.lit(1))).alias("one"))
+    return severity.graded(each.join(F.broadcast(case.withColumn("one", F.lit(1))), "one").drop("one"))  # 44 x 72 rows
+
+
+@query("severity_matrix", _MATRIX + f" SELECT check_id, blast_radius, confidence, measurement_basis, status, coverage_pages, ['info', 'low', 'medium', 'high', 'critical'][l2 + 1] AS severity, {_HURTS} AS hurts FROM b")
+def severity_matrix(spark, sf_dir):
+    return _matrix(spark).select("check_id", "blast_radius", "confidence", "measurement_basis", "status", "coverage_pages", "severity", "hurts")
+
+
+@query("priority_scores", _MATRIX + """ SELECT check_id, blast_radius, confidence, measurement_basis, status, coverage_pages, effort,
+round((l2 + 1) * CASE WHEN confidence = 'deterministic' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * CASE status WHEN 'latent' THEN 0.35::DOUBLE WHEN 'confirm_intent' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END
+ / CASE CASE WHEN check_id = 'R_agent_review' THEN 'medium' ELSE effort END WHEN 'low' THEN 1.0::DOUBLE WHEN 'high' THEN 2.4::DOUBLE ELSE 1.6::DOUBLE END, 3) AS priority_score FROM b CROSS JOIN (VALUES ('low'), ('medium'), ('high')) AS e(effort)""")
+def priority_scores(spark, sf_dir):
+    m = _matrix(spark).withColumn("effort", F.explode(F.array(*map(F.lit, ("low", "medium", "high")))))
+    return severity.priority(m).select("check_id", "blast_radius", "confidence", "measurement_basis", "status", "coverage_pages", "effort", "priority_score")
+
+
+_ROBOTS = [
+    ("a.test", "User-agent: *\nDisallow: /private/\nAllow: /private/public/\nDisallow: /*.pdf$\n\nUser-agent: GPTBot\nDisallow: /\n\nSitemap: https://a.test/map.xml"),
+    ("b.test", "User-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /shop # closed\nAllow: /shop/open\n\nUser-agent: Claude\nDisallow: /\n\nUser-agent: *\nDisallow:"),
+    ("c.test", "User-agent: *\nDisallow: /"),
+]
+_RULES = [("a.test", "*", 0, "/private/"), ("a.test", "*", 1, "/private/public/"), ("a.test", "*", 0, "/*.pdf$"), ("a.test", "gptbot", 0, "/"), ("b.test", "googlebot", 0, "/shop"), ("b.test", "googlebot", 1, "/shop/open"), ("b.test", "bingbot", 0, "/shop"), ("b.test", "bingbot", 1, "/shop/open"), ("b.test", "claude", 0, "/"), ("b.test", "*", None, None), ("c.test", "*", 0, "/")]
+_ASKED = ["/", "/private/x", "/private/public/y", "/doc.pdf", "/doc.pdf?x", "/shop", "/shop/open/1"]
+_DECIDED = f"""WITH r AS (SELECT *, length(regexp_replace(path, '[*$]', '', 'g')) AS len,
+  '^' || regexp_replace(regexp_replace(regexp_replace(path, '([.+?])', '\\\\\\1', 'g'), '\\*', '.*', 'g'), '\\$$', '$') AS pat FROM {_values(_RULES, 'site_id, token, allow, path')}),
+q AS (SELECT s.site_id, a.agent, p.path FROM {_values([(s,) for s, _ in _ROBOTS], 'site_id')} s CROSS JOIN {_values([(a,) for a, _, _ in robots.AGENTS], 'agent')} a CROSS JOIN {_values([(p,) for p in _ASKED], 'path')} p),
+t AS (SELECT q.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.site_id = q.site_id AND r.token = lower(q.agent)) THEN lower(q.agent) ELSE '*' END AS token FROM q),
+m AS (SELECT t.site_id, t.agent, t.path, r.allow, row_number() OVER (PARTITION BY t.site_id, t.agent, t.path ORDER BY r.len DESC NULLS LAST, r.allow DESC) AS k
+  FROM t LEFT JOIN r ON r.site_id = t.site_id AND r.token = t.token AND regexp_matches(t.path, r.pat))
+"""
+
+
+def _decided(spark):
+    rules = robots.rules(spark.createDataFrame(_ROBOTS, "site_id string, text string"))
+    wanted = spark.createDataFrame([(s, a, p) for s, _ in _ROBOTS for a, _, _ in robots.AGENTS for p in _ASKED], "site_id string, agent string, path string")
+    return robots.decisions(rules, wanted)
+
+
+@query("robots_decisions", _DECIDED + "SELECT site_id, agent, path, coalesce(allow = 1, true) AS allowed FROM m WHERE k = 1")
+def robots_decisions(spark, sf_dir):
+    return _decided(spark).select("site_id", "agent", "path", "allowed")
+
+
+@query("robots_agent_report", _DECIDED + f"SELECT site_id, agent, c.class, list_sort(list(path) FILTER (WHERE allow = 0)) AS blocked_paths, count(*) FILTER (WHERE allow = 0) = count(*) AS fully_blocked FROM m JOIN {_values([(a, k) for a, k, _ in robots.AGENTS], 'agent, class')} c USING (agent) WHERE k = 1 GROUP BY ALL HAVING count(*) FILTER (WHERE allow = 0) > 0")
+def robots_agent_report(spark, sf_dir):
+    return robots.agent_report(_decided(spark), spark).where("size(blocked_paths) > 0").select("site_id", "agent", "class", "blocked_paths", "fully_blocked")
+
+
+@query("robots_unrecognised", f"""SELECT site_id, token, list_sort(list(agent)) AS probably_meant FROM (SELECT DISTINCT site_id, token FROM {_values([(s, t) for s, t in (("a.test", "GPTBot"), ("b.test", "Googlebot"), ("b.test", "Bingbot"), ("b.test", "Claude"))], 'site_id, token')})
+JOIN {_values([(a,) for a, _, _ in robots.AGENTS], 'agent')} ON starts_with(lower(agent), lower(token)) WHERE length(token) >= 4 GROUP BY 1, 2 HAVING NOT bool_or(lower(agent) = lower(token))""")
+def robots_unrecognised(spark, sf_dir):
+    return robots.unrecognised(robots.rules(spark.createDataFrame(_ROBOTS, "site_id string, text string")), spark)
+
+
+_BEFORE = [("s1", "A3_noindex", "critical", "active"), ("s1", "B1_fact_absent", "high", "active"), ("s1", "B1_fact_absent", "high", "active"), ("s2", "C7_title_problem", "medium", "active"), ("s3", "D4_internal_contradiction", "high", "latent")]
+_AFTER = [("s1", "B1_fact_absent", "high", "active"), ("s2", "C7_title_problem", "medium", "active"), ("s2", "A2_snippet_suppressed", "high", "active"), ("s3", "D4_internal_contradiction", "high", "active")]
+_F = "slug, check_id, severity, status"
+_SEVERE = "SELECT slug, check_id FROM {} WHERE status = 'active' AND severity IN ('critical', 'high')"
+
+
+def _found(spark, rows):
+    return spark.createDataFrame(rows, "slug string, check_id string, severity string, status string")
+
+
+@query("severe_changes", f"SELECT *, 'removed' AS change FROM ({_SEVERE.format(_values(_BEFORE, _F))} EXCEPT ALL {_SEVERE.format(_values(_AFTER, _F))}) UNION ALL SELECT *, 'added' FROM ({_SEVERE.format(_values(_AFTER, _F))} EXCEPT ALL {_SEVERE.format(_values(_BEFORE, _F))})")
+def severe_changes(spark, sf_dir):
+    return evaluation.changed(evaluation.severe(_found(spark, _BEFORE)), evaluation.severe(_found(spark, _AFTER)))
+
+
+_VERDICTS = [("s1", "A3_noindex", "correct"), ("s1", "B1_fact_absent", "false_positive")]
+
+
+@query("verdict_tally", f"SELECT coalesce(verdict, 'unchecked') AS verdict, count(*) AS n FROM ({_SEVERE.format(_values(_BEFORE, _F))}) LEFT JOIN {_values(_VERDICTS, 'slug, check_id, verdict')} USING (slug, check_id) GROUP BY 1")
+def verdict_tally(spark, sf_dir):
+    return evaluation.tally(evaluation.severe(_found(spark, _BEFORE)), spark.createDataFrame(_VERDICTS, "slug string, check_id string, verdict string"))
+
+
+@query("never_fired", f"SELECT check_id FROM {_values([(c,) for c, *_ in severity.SEVERITY], 'check_id')} EXCEPT SELECT check_id FROM {_values(_BEFORE, _F)}")
+def never_fired(spark, sf_dir):
+    return evaluation.never_fired(_found(spark, _BEFORE))
+
+
+@query("event_status_runs", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS isle FROM events)
+SELECT user_id AS site_id, max(n) AS longest FROM (SELECT user_id, isle, count(*) AS n FROM e WHERE event_type = 'click' GROUP BY 1, 2) GROUP BY 1""")
+def event_status_runs(spark, sf_dir):
+    """Longest runs of one status, over the event table."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("site_id"), F.col("event_id").alias("page_seq"), F.when(F.col("event_type") == "click", 503).otherwise(200).alias("status"))
+    return evaluation.consecutive(e)
+
+
+@query("wall_time_facts", "SELECT o_orderstatus AS run_status, count(*) AS sites, quantile_cont(o_totalprice, 0.5) AS median_s, max(o_totalprice) AS max_s FROM orders GROUP BY 1")
+def wall_time_facts(spark, sf_dir):
+    """Run facts per status, over the order table."""
+    return evaluation.run_facts(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("run_status"), F.col("o_totalprice").alias("wall_s")))
+
+
+_AMOUNTS = ["1.299,00", "1,299.00", "49,00", "1.299", "1,299", "1,29,999", "12.5", "7", "1.234.567", "12,3,4", "abc", ""]
+_PLAIN = """CASE WHEN contains(a, ',') AND contains(a, '.') THEN CASE WHEN length(a) - instr(reverse(a), ',') > length(a) - instr(reverse(a), '.') THEN replace(replace(a, '.', ''), ',', '.') ELSE replace(a, ',', '') END
+WHEN length(a) - length(replace(a, ',', '')) > 1 OR regexp_full_match(a, '\\d{1,3}(,\\d{3})+') THEN replace(a, ',', '') WHEN contains(a, ',') THEN replace(a, ',', '.')
+WHEN length(a) - length(replace(a, '.', '')) > 1 OR regexp_full_match(a, '\\d{1,3}(\\.\\d{3})+') THEN replace(a, '.', '') ELSE a END"""
+
+
+@query("amounts", f"SELECT a, round(try_cast({_PLAIN} AS DOUBLE), 2) AS amount FROM {_values([(a,) for a in _AMOUNTS], 'a')}")
+def amounts(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a in _AMOUNTS], "a string").select("a", X.amount(F.col("a")).alias("amount"))
