@@ -7,8 +7,8 @@ The battery looks at runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that
 letters and digits. The encoding is inferred from the characters (hex, base32, alphanumeric, base64 or its URL form). Three
 tests ask whether the characters could be uniform draws from that alphabet: chi-squared uniformity, runs above and
 below the middle, and lag-one serial correlation; each must stay within LIMIT standard deviations. What is left is
-tested against ordinary text, in which neighbours seldom change between digits, small letters, capitals and marks:
-a Chernoff bound on the number of changes gives a p-value. Benjamini-Hochberg with weights that grow with the length
+tested against ordinary text, in which neighbours seldom change between digits, small letters and capitals (marks
+part words, so neighbours of a mark do not count): a Chernoff bound on the number of changes gives a p-value. Benjamini-Hochberg with weights that grow with the length
 (long random strings are expected, short ones are mostly words) controls the false discoveries over all documents;
 its threshold comes from counts in bins of log p, so only one number reaches the driver.
 
@@ -82,18 +82,19 @@ _STEPS = (
         CAST(size(filter(x.v, y -> 2 * y >= x.k)) AS DOUBLE) AS high,
         aggregate(x.v, 0D, (a, y) -> a + y) / x.n AS mean,
         aggregate(sequence(1, size(x.v) - 1), 1D, (a, i) -> a + if((2 * x.v[i] >= x.k) <> (2 * x.v[i - 1] >= x.k), 1, 0)) AS runs,
-        aggregate(sequence(1, size(x.v) - 1), 0D, (a, i) -> a + if(x.mark[i] <> x.mark[i - 1], 1, 0)) / (x.n - 1) AS changes))""",
-    """transform({}, x -> struct(x.start, x.end, x.n, x.changes,
+        aggregate(sequence(1, size(x.v) - 1), 0D, (a, i) -> a + if(x.mark[i] < 3 AND x.mark[i - 1] < 3, 1, 0)) AS pairs,
+        aggregate(sequence(1, size(x.v) - 1), 0D, (a, i) -> a + if(x.mark[i] < 3 AND x.mark[i - 1] < 3 AND x.mark[i] <> x.mark[i - 1], 1, 0)) AS turns))""",
+    """transform(filter({}, x -> x.pairs > 0), x -> struct(x.start, x.end, x.n, x.pairs, x.turns / x.pairs AS changes,
         (x.k / x.n * x.squares - x.n - (x.k - 1)) / sqrt(2 * (x.k - 1) * (x.n - 1) / x.n) AS uniform,
         2 * x.high * (x.n - x.high) AS mixed, x.runs,
         aggregate(x.v, 0D, (a, y) -> a + (y - x.mean) * (y - x.mean)) AS spread,
         aggregate(sequence(1, size(x.v) - 1), 0D, (a, i) -> a + (x.v[i] - x.mean) * (x.v[i - 1] - x.mean)) AS lagged))""",
-    """transform(filter({}, x -> x.spread > 0 AND x.mixed > x.n), x -> struct(x.start, x.end, x.n, x.changes, x.uniform,
+    """transform(filter({}, x -> x.spread > 0 AND x.mixed > x.n), x -> struct(x.start, x.end, x.n, x.pairs, x.changes, x.uniform,
         (x.runs - x.mixed / x.n - 1) / sqrt(x.mixed * (x.mixed - x.n) / (x.n * x.n * (x.n - 1))) AS runs,
         (x.lagged / x.spread + 1 / x.n) * sqrt(x.n) AS serial))""",
 )
 #: ln p by Chernoff's bound, less the log of the length's weight; then the bin.
-_LOGP = f"if(x.changes <= {CHANGE}, 0D, -(x.n - 1) * (x.changes * ln(x.changes / {CHANGE}) + if(x.changes < 1, (1 - x.changes) * ln((1 - x.changes) / {1 - CHANGE}), 0D))) - ln(least(x.n, 64D) / 32)"
+_LOGP = f"if(x.changes <= {CHANGE}, 0D, -x.pairs * (x.changes * ln(x.changes / {CHANGE}) + if(x.changes < 1, (1 - x.changes) * ln((1 - x.changes) / {1 - CHANGE}), 0D))) - ln(least(x.n, 64D) / 32)"
 _LAST = f"transform(filter({{}}, x -> abs(x.uniform) <= {LIMIT} AND abs(x.runs) <= {LIMIT} AND abs(x.serial) <= {LIMIT}), x -> struct(x.start, x.end, CAST(greatest(0D, least({BINS - 1}D, floor(-50 / {math.log(10)} * ({_LOGP})))) AS INT) AS bin))"
 
 
