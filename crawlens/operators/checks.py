@@ -185,7 +185,7 @@ def page_hits(pages: DataFrame) -> DataFrame:
     nameless = F.filter(f("controls"), lambda c: ~c["named"])
     blank = F.filter(f("images"), lambda i: i["alt"].isNull())
     heavy = F.filter(f("forms"), lambda x: x["ident"].rlike(CONVERSION) & ((F.size(F.filter(x["fields"], lambda y: y["required"])) > 5) | (F.size(x["fields"]) > 8)))
-    promise = F.lower(F.concat_ws(" ", f("title"), F.when(f("has_description"), F.coalesce(f("description"), F.lit("None"))).otherwise("None")))
+    promise = F.lower(F.concat_ws(" ", f("title"), F.when(f("has_description"), F.coalesce(f("description"), F.lit("None"))).otherwise("")))
     terms = F.array_except(F.array_distinct(X.every(promise, "[a-z]{4,}")), F.array(*map(F.lit, [w for w in STOP if len(w) >= 4])))
     body = F.lower(f("extracted"))
     unkept = (F.size(terms) > 0) & (n_words > 50) & ~F.exists(terms, lambda t: F.contains(body, t))
