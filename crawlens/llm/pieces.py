@@ -6,7 +6,8 @@ A chunk is segmented from an agenda: adjacent symbols whose join is a piece wait
 of place. Each candidate that is taken from the agenda is skipped where the keyed hash of (seed, chunk, variant,
 place, piece) falls below ``dropout``; else it merges and its new neighbours become candidates. The variant of an
 occurrence is a keyed hash of the document's key and the chunk's number, so the same word is cut differently in
-different places, while each (chunk, variant) is worked out once per task and kept in a bounded memo. With dropout 0 the
+different places, while each (chunk, variant) is worked out once per task and kept in a bounded memo; the agendas of all chunks
+of a length run side by side as array operations. With dropout 0 the
 result is the model's own encoding.
 
 Characters without a piece become byte pieces, and so does a piece mark that stands in the text itself; decoding joins
@@ -34,10 +35,12 @@ from crawlens.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL = 64 << 20
-DROPOUT, SEED, VARIANTS, MEMO = 0.1, 1, 4, 400_000
+DROPOUT, SEED, VARIANTS, MEMO = 0.1, 1, 4, 300_000
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
-FULL = (1 << 64) - 1
+FULL, VARY = (1 << 64) - 1, 0x8CB92BA72F3D8DD7
+WIDTHS, NONE = (4, 8, 12, 16, 24, 32), 1 << 40
+GROUP = 1_000_000  # characters that are encoded together
 
 
 class Pieces:
@@ -61,22 +64,33 @@ class Pieces:
             else:
                 self.rank[name] = (-sp.get_score(i), i)
                 self.bytes.append(name.replace(MARK, " ").encode())
+        order = sorted(self.rank, key=self.rank.get)
+        self.piece_of = np.array([self.rank[x][1] for x in order], np.int64)
+        self.span, self.unknown = size + 1, size
+        self.of_code = np.full(0x110000, size, np.int64)
+        for x in order:
+            if len(x) == 1:
+                self.of_code[ord(x)] = self.rank[x][1]
+        joins = {self.rank[x[:i]][1] * self.span + self.rank[x[i:]][1]: at for at, x in enumerate(order) for i in range(1, len(x)) if x[:i] in self.rank and x[i:] in self.rank}
+        self.pair_keys = np.array(sorted(joins) or [-1], np.int64)
+        self.pair_orders = np.array([joins.get(int(k), NONE) for k in self.pair_keys], np.int64)
+        #: Only if every character of every piece is a piece can symbols be numbers; else each chunk has its own agenda.
+        if any(len(x) > 1 and c not in self.rank for x in order for c in x):
+            self.of_code[:] = size
         self.limit = int(dropout * float(1 << 64))
         self.seed, self.variants = seed, variants
-        self.memo: dict[tuple[str, int], tuple[int, ...]] = {}
+        self.memo: list[dict[str, list[int]]] = [{} for _ in range(variants)]
 
     def ids_of(self, symbol: str) -> list[int]:
         found = self.rank.get(symbol)
         return [found[1]] if found else [self.byte_id[b] for b in symbol.encode()]
 
-    def chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def chunk(self, chunk: str, variant: int) -> list[int]:
         """The ids of one chunk."""
         if chunk[0] == "\n":
-            return (self.byte_id[10],) * len(chunk)
+            return [self.byte_id[10]] * len(chunk)
         rank, limit, n = self.rank, self.limit, len(chunk)
-        key = xxhash.xxh64_intdigest(chunk.encode(), (self.seed * 1_000_003 + variant) & FULL)
-        if not limit and chunk in rank and n == 1:
-            return (rank[chunk][1],)
+        key = xxhash.xxh64_intdigest(chunk.encode()) ^ ((variant + self.seed * 1_000_003) * VARY & FULL)
         symbols: list[str | None] = list(chunk)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(*found, i, chunk[i : i + 2]) for i in range(n - 1) if (found := rank.get(chunk[i : i + 2]))]
@@ -100,28 +114,111 @@ class Pieces:
                     heappush(agenda, (*found, i, pair))
             if (h := left[i]) >= 0 and (found := rank.get(pair := symbols[h] + joined)):
                 heappush(agenda, (*found, h, pair))
-        return tuple(x for s in symbols if s is not None for x in self.ids_of(s))
+        return [x for s in symbols if s is not None for x in self.ids_of(s)]
+
+    def fill(self, chunks: list[str], variants: list[int]) -> None:
+        """Work out chunks for the memo: by lengths, all agendas of a length at once."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        starts = np.cumsum(sizes) - sizes
+        codes = self.of_code[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, [c.encode() for c in chunks]), np.uint64, len(chunks))
+        keys = keys ^ ((np.array(variants, np.uint64) + np.uint64(self.seed * 1_000_003 & FULL)) * np.uint64(VARY))
+        alone = np.ones(len(chunks), bool)
+        for low, width in zip((0, *WIDTHS), WIDTHS):
+            rows = np.flatnonzero((sizes > low) & (sizes <= width))
+            if not len(rows):
+                continue
+            at = starts[rows, None] + np.arange(width)
+            symbols = np.where(np.arange(width) < sizes[rows, None], codes[np.minimum(at, len(codes) - 1)], -1)
+            plain = ~(symbols == self.unknown).any(axis=1)
+            rows = rows[plain]
+            alone[rows] = False
+            done = self.agendas(symbols[plain], sizes[rows], keys[rows])
+            left = done >= 0
+            flat, ends, a = done[left].tolist(), np.cumsum(left.sum(axis=1)).tolist(), 0
+            for i, b in zip(rows.tolist(), ends):
+                self.memo[variants[i]][chunks[i]] = flat[a:b]
+                a = b
+        for i in np.flatnonzero(alone).tolist():
+            self.memo[variants[i]][chunks[i]] = self.chunk(chunks[i], variants[i])
+
+    def joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The order of the piece that two symbols make together; NONE if there is none."""
+        key = left * self.span + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_orders[at], NONE)
+
+    def agendas(self, s: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """One agenda per row of symbols, a candidate of each row at a time; merged-away places become -1."""
+        n, width = s.shape
+        waiting = np.full((n, width), NONE, np.int64)  # by left place: order of the candidate
+        waiting[:, :-1] = self.joins(s[:, :-1].ravel(), s[:, 1:].ravel()).reshape(n, width - 1)
+        after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
+        before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
+        after[np.arange(1, width + 1) >= sizes[:, None]] = width
+        live = np.arange(n)
+        while len(live):
+            place = waiting[live].argmin(axis=1)  # the first of equal ones
+            order = waiting[live, place]
+            open_ = order < NONE
+            live, place, order = live[open_], place[open_], order[open_]
+            if not len(live):
+                break
+            piece = self.piece_of[order]
+            if self.limit:
+                h = keys[live] ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (piece.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                skip = h < np.uint64(self.limit)
+                waiting[live[skip], place[skip]] = NONE
+                row, j, piece = live[~skip], place[~skip], piece[~skip]
+            else:
+                row, j = live, place
+            k = after[row, j]
+            far = after[row, k]
+            s[row, j], s[row, k], waiting[row, k] = piece, -1, NONE
+            after[row, j] = far
+            has = far < width
+            before[row[has], far[has]] = j[has]
+            right = np.where(has, s[row, np.minimum(far, width - 1)], -1)
+            waiting[row, j] = self.joins(piece, right)
+            back = before[row, j]
+            has = back >= 0
+            waiting[row[has], back[has]] = self.joins(s[row[has], back[has]], piece[has])
+        return s
+
+    def encode_many(self, texts: list[str | None], keys: list[int]) -> list[list[int] | None]:
+        """The ids of several texts, each with its key."""
+        memo, parts = self.memo, []
+        for text, key in zip(texts, keys):
+            own = []
+            start = np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & FULL)
+            for i, part in enumerate(text.split(MARK) if text else ()):
+                chunks = CHUNK.findall(part.replace(" ", MARK) if i else MARK + part.replace(" ", MARK))
+                at = (np.arange(i, i + len(chunks), dtype=np.uint64) + start) * np.uint64(0xD6E8FEB86659FD93)
+                which = ((at ^ (at >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(self.variants)
+                own.append((chunks, which.tolist()))
+            parts.append(own)
+        if sum(map(len, memo)) > MEMO:
+            for m in memo:
+                m.clear()
+        missing = list(dict.fromkeys([(c, v) for own in parts for chunks, which in own for c, v in zip(chunks, which) if c not in memo[v]]))
+        if missing:
+            self.fill(*map(list, zip(*missing)))
+        mark, out = [self.byte_id[b] for b in MARK.encode()], []
+        for text, own in zip(texts, parts):
+            ids: list[int] = []
+            for i, (chunks, which) in enumerate(own):
+                if i:
+                    ids += mark
+                for c, v in zip(chunks, which):
+                    ids += memo[v][c]
+            out.append(None if text is None else ids)
+        return out
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         """The ids of a text; ``key`` (the document's) varies the segmentation."""
-        if not text:
-            return []
-        start = np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & FULL)
-        memo, out = self.memo, []
-        for i, part in enumerate(text.split(MARK)):
-            if i:
-                out += [self.byte_id[b] for b in MARK.encode()]
-            chunks = CHUNK.findall(part.replace(" ", MARK) if i else MARK + part.replace(" ", MARK))
-            at = (np.arange(i, i + len(chunks), dtype=np.uint64) + start) * np.uint64(0xD6E8FEB86659FD93)
-            which = ((at ^ (at >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(self.variants)
-            for pair in zip(chunks, which.tolist()):
-                ids = memo.get(pair)
-                if ids is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = memo[pair] = self.chunk(*pair)
-                out += ids
-        return out
+        return self.encode_many([text], [key])[0]
 
     def decode(self, ids) -> str:
         of = self.bytes
@@ -140,11 +237,15 @@ def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value, dropout, seed)
         for b in batches:
-            ids, same = [], []
-            for key, text in zip(b.column("_key").to_pylist(), b.column("_text").to_pylist()):
-                own = None if text is None else np.array(pieces.encode(text, key), np.int32)
-                ids.append(own)
-                same.append(None if text is None else pieces.decode(own.tolist()) == text)
+            keys, all_texts = b.column("_key").to_pylist(), b.column("_text").to_pylist()
+            ids, same, start, size = [], [], 0, 0
+            for i, text in enumerate(all_texts):
+                size += len(text or "")
+                if size >= GROUP or i + 1 == len(all_texts):
+                    for own, t in zip(pieces.encode_many(all_texts[start : i + 1], keys[start : i + 1]), all_texts[start : i + 1]):
+                        same.append(None if own is None else pieces.decode(own) == t)
+                        ids.append(None if own is None else np.array(own, np.int32))
+                    start, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -172,8 +273,10 @@ def digests(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.array(x or [], np.int32) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), b.column("lossless")], names=["doc_id", "n_tokens", "ids_sha256", "lossless"])
+            column = b.column("ids")
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy().astype("<i4", copy=False)
+            ids = [flat[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), b.column("lossless")], names=["doc_id", "n_tokens", "ids_sha256", "lossless"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, lossless boolean")

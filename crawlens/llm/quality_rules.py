@@ -175,3 +175,23 @@ def query(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(BASE)).alias("base_failed"), passes("v2").alias("kept"), "fail_bits",
     )
+
+
+_FAIL_BITS = " + ".join(f"CASE WHEN {r.fails.replace('top_word', 'coalesce(top_word, 0)')} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), tri AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM d)
+), twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS n FROM tri) WHERE n > 1
+), rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id
+), top AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY 1, 2) GROUP BY 1
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, top.n AS top_word,
+         length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN top USING (doc_id)
+), b AS (SELECT *, CAST({_FAIL_BITS} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {mask(BASE)} <> 0 AS base_failed, fail_bits & {mask(POLICIES["v2"])} = 0 AS kept, fail_bits FROM b
+"""

@@ -17,6 +17,8 @@ QUERIES = {
     "op10_nearest": nearest.query,
 }
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op6_suffixes": suffixes.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op8_substrings": substrings.ORACLE,
 }

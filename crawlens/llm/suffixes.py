@@ -319,3 +319,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def query(spark, sf_dir):
     return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as hex digits: a string of 100 bytes is 200 digits from an odd place. Covered starts merge into runs by islands.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 100)) AS p FROM d)),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+isle AS (SELECT doc_id, p, sum(CASE WHEN p > before + 100 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone)),
+runs AS (SELECT doc_id, g, min(p) AS a, max(p) + 100 AS b FROM isle GROUP BY doc_id, g),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(generate_series(1, len(starts) + 1),
+         lambda i: substr(h, 2 * CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END + 1, 2 * (CASE WHEN i > len(starts) THEN length(h) // 2 ELSE starts[i] END - CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
