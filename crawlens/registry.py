@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from crawlens.functions import text as X, urls as U
-from crawlens.operators import checks, claims, evaluation, robots, severity
+from crawlens.operators import checks, claims, crawl, evaluation, review, robots, severity
 from crawlens.plans import audit
 from crawlens.sources.storage import stored
 
@@ -134,6 +134,30 @@ def check_fire_rates(spark, sf_dir):
     return evaluation.fire_rate(f, p.select("site_id").distinct().count())
 
 
+@query("bot_challenges", r"SELECT page_id FROM pages WHERE length(html) <= 60000 AND regexp_matches(substr(html, 1, 4000), '(?i)<title[^>]*>\s*(access denied|just a moment\.{0,3}|one more step)\s*</title>')")
+def bot_challenges(spark, sf_dir):
+    return pages(spark, sf_dir).where(crawl.challenge(F.col("html")).isNotNull()).select("page_id")
+
+
+@query("homepage_links")
+def homepage_links(spark, sf_dir):
+    """Links of each site's first page, taken as its home."""
+    p = parsed(spark, sf_dir)
+    first = F.min("page_seq").over(W.partitionBy("site_id"))
+    return crawl.homepage_links(p.withColumn("role", F.when(F.col("page_seq") == first, "home").otherwise(F.col("role"))))
+
+
+@query("review_candidates")
+def review_candidates(spark, sf_dir):
+    p = parsed(spark, sf_dir)
+    return review.candidates(p, audit.graded_findings(p))
+
+
+@query("retired_checks")
+def retired_checks(spark, sf_dir):
+    return review.retired_hits(parsed(spark, sf_dir))
+
+
 # --- text recognisers over documents ----------------------------------------------------------------------------------
 @query("word_counts", r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\t\n\x0B\f\r ]+')) AS BIGINT) AS n_words FROM documents")
 def word_counts(spark, sf_dir):

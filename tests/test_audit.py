@@ -225,3 +225,51 @@ def test_bundle_source(spark, tmp_path):
     rows = bundles.bundles(spark, f"file://{tmp_path}")
     assert bundles.sites(rows).head()["ai_agents_named"] is False and bundles.pages(rows).head()["headers"] == {"x-robots-tag": "noindex"} and bundles.agent_access(rows).head()["path"] == "/x"
     assert fired(audit.prepared(bundles.pages(rows)))["A3_noindex"] == {"https://t.test/"}
+
+
+def test_crawl_operators(spark, crawl):
+    from crawlens.operators import crawl as C
+
+    html_of = lambda t, b="": f"<html><title>{t}</title>{b}</html>"
+    rows = [(html_of("Just a moment..."), "unrecognised vendor"), (html_of("Fine", "<script>cf_chl_opt</script>"), "Cloudflare"), (html_of("Fine", "<script>cf_chl_opt</script>" + "w " * 80), None), ("", None), (html_of("Just a moment") + "x" * 70000, None)]
+    assert [r["v"] for r in spark.createDataFrame([(i, h) for i, (h, _) in enumerate(rows)], "i int, h string").orderBy("i").select(C.challenge(F.col("h")).alias("v")).collect()] == [v for _, v in rows]
+    links = C.homepage_links(crawl(page("https://t.test/", "<a href='/pricing'>Plans</a><a href='pricing#x'>P</a><a href='//www.t.test/about/'>About</a><a href='/a.css'>c</a><a href='https://o.test/'>o</a><a href='mailto:x'>m</a><a href='/contact-sales'></a>", "home")))
+    assert sorted((r["target"], r["label"]) for r in links.collect()) == [("https://t.test/contact-sales", None), ("https://t.test/pricing", "Plans"), ("https://www.t.test/about", "About")]
+    order = C.frontier(links, spark.createDataFrame([("t.test", f"https://t.test/{u}", i) for i, u in enumerate(["blog/1", "pricing", "z", "blog/1"])], "site_id string, url string, seq int"))
+    assert [r["url"].split(".test/")[1] for r in order.orderBy("position").collect()] == ["pricing", "contact-sales", "about", "blog/1", "z"]
+    files = spark.createDataFrame([("t.test", "r.xml", "<loc>https://t.test/s1.xml</loc><loc>https://t.test/a</loc>"), ("t.test", "https://t.test/s1.xml", "<loc> https://t.test/b </loc><loc>https://t.test/a</loc><loc>https://t.test/s2.xml</loc>"), ("t.test", "https://t.test/s2.xml", "<loc>https://t.test/c</loc>")], "site_id string, sitemap string, xml string")
+    got = C.sitemap_pages(files, spark.createDataFrame([("t.test", "r.xml", 0)], "site_id string, sitemap string, at int"))
+    assert [r["url"] for r in got.orderBy("seq").collect()] == ["https://t.test/a", "https://t.test/b", "https://t.test/c"]
+    sites = spark.createDataFrame([(s, s == "b", 5, 2) for s in "abcd"], "site_id string, blocked_by_robots boolean, urls_seen int, max_pages int")
+    pages = spark.createDataFrame([("a", 200, "x", None), ("a", 200, "x", None), ("c", 403, None, None), ("d", 200, "x", None)], "site_id string, status int, html string, error string")
+    assert {r["site_id"]: r["run_status"] for r in C.run_status(pages, sites).collect()} == {"a": "complete", "b": "blocked", "c": "failed", "d": "partial"}
+
+
+def test_review(spark, crawl):
+    from crawlens.operators import review
+
+    pages = crawl(page("https://t.test/pricing", "word " * 160, "pricing"), page("https://t.test/about", "Short", "about"), page("https://t.test/x", head='<title>T</title><link rel=canonical href="https://t.test/gone">'), page("https://t.test/gone", status=404))
+    none = spark.createDataFrame([], "site_id string, check_id string, affected_urls array<string>")
+    got = {(r["item"], r["url"][15:]) for r in review.candidates(pages, none).collect()}
+    assert got == {("pricing_answer_not_in_opening", "pricing"), ("thin_content_page", "about"), ("canonical_points_at_broken_page", "x")}
+    told = spark.createDataFrame([("t.test", "B1_fact_absent", ["https://t.test/pricing"])], none.schema)
+    assert len(review.candidates(pages, told).collect()) == 2
+    found = spark.createDataFrame([("t.test", "F-001", "B1_fact_absent", "high", ["u1", "u2"], "template", "deterministic", "static_fact", "active", 5), ("t.test", "F-002", "A3_noindex", "critical", ["u1"], "site_wide", "deterministic", "static_fact", "active", 5)], "site_id string, id string, check_id string, severity string, affected_urls array<string>, blast_radius string, confidence string, measurement_basis string, status string, coverage_pages int")
+    say = "A long enough explanation of it"
+    verdicts = spark.createDataFrame([("t.test", 1, "B1_fact_absent", None, "not_a_defect", "page_purpose_mismatch", say, ["u1"]), ("t.test", 2, "A3_noindex", None, "confirm_intent", "deliberate_configuration", say, None), ("t.test", 3, "A3_noindex", None, "downgrade", "overstated_impact", say, None), ("t.test", 4, "B1_fact_absent", None, "confirm", "overstated_impact", say, None)], "site_id string, n int, check_id string, url string, verdict string, reason string, explanation string, urls array<string>")
+    tested = spark.createDataFrame([("t.test", n, "u1", "text_contains", "x", True, True) for n in (1, 2, 3, 4)], "site_id string, n int, url string, kind string, value string, holds boolean, positive boolean")
+    out = review.judged(verdicts, found, tested, spark.createDataFrame([("t.test", 3)], "site_id string, pages_ok int")).cache()
+    assert {r["n"]: (r["effect"], r["rejected_reason"]) for r in out.collect()} == {1: ("clear_urls", None), 2: ("confirm_intent", None), 3: (None, "a critical finding is not downgraded for scope"), 4: (None, "reason goes with another verdict")}
+    after = {r["check_id"]: (r["severity"], r["status"], r["affected_urls"]) for r in review.applied(found, out).collect()}
+    assert after == {"B1_fact_absent": ("high", "active", ["u2"]), "A3_noindex": ("low", "confirm_intent", ["u1"])}
+
+
+def test_streaming(spark, tmp_path):
+    from crawlens.streaming import incremental
+
+    rows = [tuple(page("https://t.test/1", lang="")[c.split()[0]] for c in SCHEMA.split(", "))]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("audited_at", F.to_timestamp("audited_at"))
+    df.write.parquet(f"{tmp_path}/in")
+    q = incremental.page_hits(incremental.stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", f"{tmp_path}/ck")
+    q.awaitTermination(120)
+    assert "E5_no_lang" in {r["check_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
