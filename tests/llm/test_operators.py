@@ -320,6 +320,7 @@ def test_pieces_vary_and_decode(docs, empty, model):
     for v in range(p.variants):
         assert all(p.chunk(c, v) == ids for c, ids in p.memo[v].items())
     assert pieces.digests(pieces.encoded(empty)).count() == 0
+    assert sorted(map(str, pieces.digests(got).collect())) == sorted(map(str, pieces.encoded(docs, digest=True).collect()))
 
 
 def test_url_filter(spark):
