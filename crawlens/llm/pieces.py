@@ -40,6 +40,7 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 FULL, VARY = (1 << 64) - 1, 0x8CB92BA72F3D8DD7
 WIDTHS, NONE = (4, 8, 12, 16, 24, 32), 1 << 40
+DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "lossless"]
 GROUP = 1_000_000  # characters that are encoded together
 
 
@@ -226,8 +227,12 @@ class Pieces:
         return raw[1:].decode() if raw[:1] == b" " else raw.decode()
 
 
-def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids, lossless)``: the piece ids of every text, and whether they decode to it."""
+def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """``(doc_id, ids, lossless)``: the piece ids of every text, and whether they decode to it.
+
+    With ``digest``, ``(doc_id, n_tokens, ids_sha256, lossless)`` as ``digests`` would give: the ids are made, decoded and
+    digested in one place and do not travel.
+    """
     with open(model, "rb") as f:
         raw = f.read(MAX_MODEL + 1)
     if len(raw) > MAX_MODEL:
@@ -246,11 +251,16 @@ def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
                         same.append(None if own is None else pieces.decode(own) == t)
                         ids.append(None if own is None else np.array(own, np.int32))
                     start, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "lossless"])
+            if digest:
+                none = np.zeros(0, np.int32)
+                found = [none if x is None else x for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4", copy=False)).hexdigest() for x in found]), pa.array(same, pa.bool_())], names=DIGESTS)
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col).cast("string")).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(run, f"doc_id {kind}, ids array<int>, lossless boolean")
+    return own.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, lossless boolean" if digest else f"doc_id {kind}, ids array<int>, lossless boolean")
 
 
 def decoded(rows: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -276,11 +286,11 @@ def digests(rows: DataFrame) -> DataFrame:
             column = b.column("ids")
             ends, flat = column.offsets.to_numpy(), column.values.to_numpy().astype("<i4", copy=False)
             ids = [flat[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), b.column("lossless")], names=["doc_id", "n_tokens", "ids_sha256", "lossless"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), b.column("lossless")], names=DIGESTS)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, lossless boolean")
 
 
 def query(spark, sf_dir):
-    return digests(encoded(table(spark, sf_dir, "documents")))
+    return encoded(table(spark, sf_dir, "documents"), digest=True)
