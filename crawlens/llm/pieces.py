@@ -3,11 +3,11 @@
 A text gets the dummy blank in front and blanks become the piece mark; since no piece has a mark after another
 character, the text falls into chunks (marks, then characters up to the next mark or line end) that merge on their own.
 A chunk is segmented from an agenda: adjacent symbols whose join is a piece wait in the order of the piece's score, then
-of place. Each candidate that is taken from the agenda is skipped where the keyed hash of (seed, chunk, variant,
-place, piece) falls below ``dropout``; else it merges and its new neighbours become candidates. The variant of an
-occurrence is a keyed hash of the document's key and the chunk's number, so the same word is cut differently in
-different places, while each (chunk, variant) is worked out once per task and kept in a bounded memo; the agendas of all chunks
-of a length run side by side as array operations. With dropout 0 the
+of place. Each candidate that is taken from the agenda is skipped with probability ``dropout``, else it merges and its new
+neighbours become candidates. Every occurrence draws for itself: the numbers of candidates between its skips are geometric,
+from a keyed hash of (document's key, chunk's number in the document, seed). A segmentation depends on the chunk and on which of its candidates
+were skipped, so it is worked out once per task for each (chunk, skips) that occurs and kept in a bounded memo; the agendas of all chunks
+of a length run side by side as array operations. Chunks of more than 32 characters are worked out at each occurrence. With dropout 0 the
 result is the model's own encoding.
 
 Characters without a piece become byte pieces, and so does a piece mark that stands in the text itself; decoding joins
@@ -23,31 +23,30 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from crawlens.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL = 64 << 20
-DROPOUT, SEED, VARIANTS, MEMO = 0.1, 1, 4, 300_000
+DROPOUT, SEED, MEMO = 0.1, 1, 1_000_000
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 FULL, VARY = (1 << 64) - 1, 0x8CB92BA72F3D8DD7
 WIDTHS, NONE = (4, 8, 12, 16, 24, 32), 1 << 40
 DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "lossless"]
-GROUP = 1_000_000  # characters that are encoded together
+GROUP = 4_000_000  # characters that are encoded together
 
 
 class Pieces:
     """A model's pieces, scores and bytes, with encoding and decoding."""
 
-    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -78,9 +77,47 @@ class Pieces:
         #: Only if every character of every piece is a piece can symbols be numbers; else each chunk has its own agenda.
         if any(len(x) > 1 and c not in self.rank for x in order for c in x):
             self.of_code[:] = size
-        self.limit = int(dropout * float(1 << 64))
-        self.seed, self.variants = seed, variants
-        self.memo: list[dict[str, list[int]]] = [{} for _ in range(variants)]
+        self.dropout, self.seed = dropout, seed
+        self.clear()
+
+    def clear(self) -> None:
+        """Empty the memo: by variant (a set of skipped candidates, as numbers in the order they are taken), ids and numbers of candidates by chunk."""
+        self.skipped: list[tuple[int, ...]] = [()]
+        self.after: dict[tuple[int, int], int] = {}
+        self.memo: list[dict[str, list[int]]] = [{}]
+        self.taken: list[dict[str, int]] = [{}]
+
+    @property
+    def variants(self) -> int:
+        return len(self.skipped)
+
+    def with_skip(self, variant: int, at: int) -> int:
+        """The variant that also skips candidate ``at``."""
+        if (found := self.after.get((variant, at))) is None:
+            found = self.after[variant, at] = len(self.skipped)
+            self.skipped.append((*self.skipped[variant], at))
+            self.memo.append({})
+            self.taken.append({})
+        return found
+
+    def gaps(self, keys: np.ndarray, turn: np.ndarray | int) -> np.ndarray:
+        """How many candidates merge before the next one is skipped; ``turn`` skips came before."""
+        if not self.dropout:
+            return np.full(len(keys), NONE)
+        h = keys ^ (np.atleast_1d(turn).astype(np.uint64) + np.uint64(1)) * np.uint64(VARY)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        u = (((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+        with np.errstate(divide="ignore"):
+            return np.floor(np.log(u) / np.log1p(-self.dropout)).astype(np.int64)
+
+    def skips(self, key: int) -> Iterator[int]:
+        """The numbers of the skipped candidates of one occurrence, without end."""
+        at = -1
+        for first in range(0, 1 << 60, 256):
+            for g in self.gaps(np.full(256, key, np.uint64), np.arange(first, first + 256)).tolist():
+                at += 1 + g
+                yield at
 
     def ids_of(self, symbol: str) -> list[int]:
         found = self.rank.get(symbol)
@@ -88,25 +125,27 @@ class Pieces:
 
     def chunk(self, chunk: str, variant: int) -> list[int]:
         """The ids of one chunk."""
+        return self.cut(chunk, self.skipped[variant])[0]
+
+    def cut(self, chunk: str, skips: Iterable[int]) -> tuple[list[int], int]:
+        """The ids of one chunk with the given candidates skipped, and the number of candidates."""
         if chunk[0] == "\n":
-            return [self.byte_id[10]] * len(chunk)
-        rank, limit, n = self.rank, self.limit, len(chunk)
-        key = xxhash.xxh64_intdigest(chunk.encode()) ^ ((variant + self.seed * 1_000_003) * VARY & FULL)
+            return [self.byte_id[10]] * len(chunk), 0
+        rank, n, taken, skips = self.rank, len(chunk), 0, iter(skips)
+        skip = next(skips, -1)
         symbols: list[str | None] = list(chunk)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(*found, i, chunk[i : i + 2]) for i in range(n - 1) if (found := rank.get(chunk[i : i + 2]))]
         heapify(agenda)
         while agenda:
-            _, piece, i, joined = heappop(agenda)
+            _, _, i, joined = heappop(agenda)
             j = right[i] if symbols[i] is not None else n
             if j >= n or symbols[i] + symbols[j] != joined:
                 continue  # a neighbour has merged since
-            if limit:  # the keyed hash of this candidate
-                h = (key ^ (i * 0x9E3779B97F4A7C15) ^ (piece * 0xC2B2AE3D27D4EB4F)) & FULL
-                h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & FULL
-                h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & FULL
-                if h < limit:
-                    continue
+            taken += 1
+            if taken - 1 == skip:
+                skip = next(skips, -1)
+                continue
             symbols[i], symbols[j] = joined, None
             right[i] = k = right[j]
             if k < n:
@@ -115,15 +154,15 @@ class Pieces:
                     heappush(agenda, (*found, i, pair))
             if (h := left[i]) >= 0 and (found := rank.get(pair := symbols[h] + joined)):
                 heappush(agenda, (*found, h, pair))
-        return [x for s in symbols if s is not None for x in self.ids_of(s)]
+        return [x for s in symbols if s is not None for x in self.ids_of(s)], taken
 
     def fill(self, chunks: list[str], variants: list[int]) -> None:
         """Work out chunks for the memo: by lengths, all agendas of a length at once."""
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(sizes) - sizes
         codes = self.of_code[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, [c.encode() for c in chunks]), np.uint64, len(chunks))
-        keys = keys ^ ((np.array(variants, np.uint64) + np.uint64(self.seed * 1_000_003 & FULL)) * np.uint64(VARY))
+        most = max(len(self.skipped[v]) for v in variants)
+        skips = np.array([(*self.skipped[v], *[-1] * (most - len(self.skipped[v]))) for v in variants], np.int64).reshape(len(chunks), most)
         alone = np.ones(len(chunks), bool)
         for low, width in zip((0, *WIDTHS), WIDTHS):
             rows = np.flatnonzero((sizes > low) & (sizes <= width))
@@ -134,14 +173,14 @@ class Pieces:
             plain = ~(symbols == self.unknown).any(axis=1)
             rows = rows[plain]
             alone[rows] = False
-            done = self.agendas(symbols[plain], sizes[rows], keys[rows])
+            done, taken = self.agendas(symbols[plain], sizes[rows], skips[rows])
             left = done >= 0
             flat, ends, a = done[left].tolist(), np.cumsum(left.sum(axis=1)).tolist(), 0
-            for i, b in zip(rows.tolist(), ends):
-                self.memo[variants[i]][chunks[i]] = flat[a:b]
+            for i, b, n in zip(rows.tolist(), ends, taken.tolist()):
+                self.memo[variants[i]][chunks[i]], self.taken[variants[i]][chunks[i]] = flat[a:b], n
                 a = b
         for i in np.flatnonzero(alone).tolist():
-            self.memo[variants[i]][chunks[i]] = self.chunk(chunks[i], variants[i])
+            self.memo[variants[i]][chunks[i]], self.taken[variants[i]][chunks[i]] = self.cut(chunks[i], self.skipped[variants[i]])
 
     def joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The order of the piece that two symbols make together; NONE if there is none."""
@@ -149,16 +188,17 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_orders[at], NONE)
 
-    def agendas(self, s: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """One agenda per row of symbols, a candidate of each row at a time; merged-away places become -1."""
+    def agendas(self, s: np.ndarray, sizes: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One agenda per row of symbols, a candidate of each row at a time; merged-away places become -1. Also the numbers of candidates."""
         n, width = s.shape
         waiting = np.full((n, width), NONE, np.int64)  # by left place: order of the candidate
         waiting[:, :-1] = self.joins(s[:, :-1].ravel(), s[:, 1:].ravel()).reshape(n, width - 1)
         after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
         before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
         after[np.arange(1, width + 1) >= sizes[:, None]] = width
-        live = np.arange(n)
+        live, taken, turn = np.arange(n), np.zeros(n, np.int64), -1
         while len(live):
+            turn += 1
             place = waiting[live].argmin(axis=1)  # the first of equal ones
             order = waiting[live, place]
             open_ = order < NONE
@@ -166,11 +206,9 @@ class Pieces:
             if not len(live):
                 break
             piece = self.piece_of[order]
-            if self.limit:
-                h = keys[live] ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (piece.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                skip = h < np.uint64(self.limit)
+            taken[live] += 1
+            if skips.shape[1]:
+                skip = (skips[live] == turn).any(axis=1)
                 waiting[live[skip], place[skip]] = NONE
                 row, j, piece = live[~skip], place[~skip], piece[~skip]
             else:
@@ -186,37 +224,63 @@ class Pieces:
             back = before[row, j]
             has = back >= 0
             waiting[row[has], back[has]] = self.joins(s[row[has], back[has]], piece[has])
-        return s
+        return s, taken
 
     def encode_many(self, texts: list[str | None], keys: list[int]) -> list[list[int] | None]:
         """The ids of several texts, each with its key."""
-        memo, parts = self.memo, []
+        if sum(map(len, self.memo)) > MEMO:
+            self.clear()
+        flat: list[str] = []
+        parts, at = [], [np.zeros(0, np.uint64)]
         for text, key in zip(texts, keys):
-            own = []
-            start = np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & FULL)
+            own, first = [], len(flat)
             for i, part in enumerate(text.split(MARK) if text else ()):
-                chunks = CHUNK.findall(part.replace(" ", MARK) if i else MARK + part.replace(" ", MARK))
-                at = (np.arange(i, i + len(chunks), dtype=np.uint64) + start) * np.uint64(0xD6E8FEB86659FD93)
-                which = ((at ^ (at >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(self.variants)
-                own.append((chunks, which.tolist()))
+                flat += (chunks := CHUNK.findall(part.replace(" ", MARK) if i else MARK + part.replace(" ", MARK)))
+                own.append(len(chunks))
             parts.append(own)
-        if sum(map(len, memo)) > MEMO:
-            for m in memo:
-                m.clear()
-        missing = list(dict.fromkeys([(c, v) for own in parts for chunks, which in own for c, v in zip(chunks, which) if c not in memo[v]]))
-        if missing:
-            self.fill(*map(list, zip(*missing)))
-        mark, out = [self.byte_id[b] for b in MARK.encode()], []
+            start = np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & FULL)
+            at.append((np.arange(len(flat) - first, dtype=np.uint64) + start) * np.uint64(0xD6E8FEB86659FD93))
+        found = self.occurrences(flat, np.concatenate(at))
+        mark, out, k = [self.byte_id[b] for b in MARK.encode()], [], 0
         for text, own in zip(texts, parts):
             ids: list[int] = []
-            for i, (chunks, which) in enumerate(own):
+            for i, n in enumerate(own):
                 if i:
                     ids += mark
-                for c, v in zip(chunks, which):
-                    ids += memo[v][c]
+                for x in found[k : k + n]:
+                    ids += x
+                k += n
             out.append(None if text is None else ids)
         return out
 
+    def occurrences(self, chunks: list[str], keys: np.ndarray) -> list[list[int]]:
+        """The ids of each occurrence of a chunk. All occurrences take their next skip together, until none falls on a candidate."""
+        number = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+        now = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
+        long = np.fromiter((len(c) > WIDTHS[-1] for c in number), bool, len(number))[now]
+        states = [(c if len(c) <= WIDTHS[-1] else "\n", 0) for c in number]
+        memo, counts = self.memo, self.taken
+        outs: list[list[int]] = []
+        final, live = np.zeros(len(chunks), np.int64), np.flatnonzero(~long)
+        now, skip, turn = now[live], np.full(len(live), -1), 0
+        while len(live):
+            if missing := [x for x in states if x[0] not in memo[x[1]]]:
+                self.fill(*map(list, zip(*missing)))
+            taken = np.fromiter((counts[v][c] for c, v in states), np.int64, len(states))
+            skip = skip + 1 + self.gaps(keys[live], turn)
+            more = skip < taken[now]
+            final[live[~more]] = len(outs) + now[~more]
+            outs += [memo[v][c] for c, v in states]
+            live, now, skip, turn = live[more], now[more], skip[more], turn + 1
+            span = int(taken.max()) + 1
+            pairs, now = np.unique(now * span + skip, return_inverse=True)
+            old, at = np.divmod(pairs, span)
+            states = [(states[x][0], self.with_skip(states[x][1], k)) for x, k in zip(old.tolist(), at.tolist())]
+        for i in np.flatnonzero(long).tolist():
+            final[i] = len(outs)
+            outs.append(self.cut(chunks[i], self.skips(int(keys[i])))[0])
+        return [outs[i] for i in final.tolist()]
+
     def encode(self, text: str, key: int = 0) -> list[int]:
         """The ids of a text; ``key`` (the document's) varies the segmentation."""
         return self.encode_many([text], [key])[0]
