@@ -4,7 +4,8 @@ Base kinds: ``assign`` (a credential name, a separator and a value of 12 charact
 18 or more) and ``hex`` (16 or more hex digits). All matches of a kind are leftmost and do not overlap.
 
 The battery looks at runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that no base span overlaps and that hold
-letters and digits. The encoding is inferred from the characters (hex, base32, alphanumeric, base64 or its URL form). Three
+letters and digits. A run is cut at every '=' but the padding at its end, and a piece that no alphabet fits at '/' and '+', at '_' and '-',
+and at all four; each part of 20 characters or more is a candidate of its own, and candidates may overlap. The encoding is inferred from the characters (hex, base32, alphanumeric, base64 or its URL form). Three
 tests ask whether the characters could be uniform draws from that alphabet: chi-squared uniformity, runs above and
 below the middle, and lag-one serial correlation; each must stay within LIMIT standard deviations. What is left is
 tested against ordinary text, in which neighbours seldom change between digits, small letters and capitals (marks
@@ -28,7 +29,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"  # the runs of [0-9a-f]+ that are long enough
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+TOKEN, LEAST = "[A-Za-z0-9+/_=-]{20,}", 20
+#: What a run is cut into, each part with the padding if it is the last; and what of that some alphabet fits.
+PIECE, FITS = "[^=]+(?:=+$)?", "^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+PARTS = ("[A-Za-z0-9_-]+(?:=+$)?", "[A-Za-z0-9+/]+(?:=+$)?", "[A-Za-z0-9]+(?:=+$)?")
 #: What each inferred encoding may use; the first that fits counts.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -71,6 +75,18 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, _spans(text, HEX, 2)))
 
 
+def _within(span: Column, pattern: str) -> Column:
+    """The parts of a span that match and are long enough, as spans of the text."""
+    parts = F.filter(_spans(span["body"], pattern, 3), lambda x: F.length(x["body"]) >= LEAST)
+    return F.transform(parts, lambda x: F.struct((span["start"] + x["start"]).alias("start"), x["kind"].alias("kind"), (span["start"] + x["end"]).alias("end"), x["body"].alias("body")))
+
+
+def _candidates(text: Column) -> Column:
+    """Runs cut into what an alphabet fits."""
+    pieces = F.flatten(F.transform(_spans(text, TOKEN, 3), lambda c: _within(c, PIECE)))
+    return F.flatten(F.transform(pieces, lambda c: F.when(c["body"].rlike(FITS), F.array(c)).otherwise(F.array_distinct(F.concat(*(_within(c, p) for p in PARTS))))))
+
+
 _MARK = "CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'a' AND 'z' THEN 1 WHEN c BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END"
 _ALPHABET = "CASE " + " ".join(f"WHEN x.body RLIKE '^[{a.replace('-', '')}{'-' * ('-' in a)}]+=*$' THEN '{a}'" for _, a in ALPHABETS) + " END"
 #: Each step adds to the struct of a candidate what the next one needs; k letters in the alphabet, n characters.
@@ -101,7 +117,7 @@ _LAST = f"transform(filter({{}}, x -> abs(x.uniform) <= {LIMIT} AND abs(x.runs)
 def _tested(frame: DataFrame) -> DataFrame:
     """Adds ``tested``: the candidates that look random, with the bin of their p-value. Reads ``_text`` and ``base``."""
     text = F.col("_secret_text")
-    has = F.when(text.rlike(TOKEN), F.filter(_spans(text, TOKEN, 3), lambda c: c["body"].rlike("[0-9]") & c["body"].rlike("[A-Za-z]")))
+    has = F.when(text.rlike(TOKEN), F.filter(_candidates(text), lambda c: c["body"].rlike("[0-9]") & c["body"].rlike("[A-Za-z]")))
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, end: INT, body: STRING>>)")
     frame = frame.withColumn(TESTED, F.filter(F.coalesce(has, none), lambda c: ~F.exists(BASE, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     for step in (*_STEPS, _LAST):
