@@ -8,7 +8,7 @@ from crawlens.llm.common import stored
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))).alias("s")).head()
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(28,0)")).alias("s")).head()
     return row["n"], row["s"]
 
 
