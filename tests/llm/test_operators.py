@@ -317,8 +317,6 @@ def test_pieces_vary_and_decode(docs, empty, model):
     p, q = pieces.Pieces(model), pieces.Pieces(model, seed=9)
     text = "an ordinary sentence about nothing in particular " * 20
     assert len({tuple(p.encode(text, k)) for k in range(5)}) == 5 and p.encode(text, 1) != q.encode(text, 1) and p.encode(text, 1) == pieces.Pieces(model).encode(text, 1)
-    for v in range(p.variants):
-        assert all(p.chunk(c, v) == ids for c, ids in p.memo[v].items())
     assert pieces.digests(pieces.encoded(empty)).count() == 0
     assert sorted(map(str, pieces.digests(got).collect())) == sorted(map(str, pieces.encoded(docs, digest=True).collect()))
 
