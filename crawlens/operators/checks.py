@@ -91,7 +91,7 @@ def directives(header: Column, metas: Column) -> Column:
     def scan(acc, token):
         scoped = token.contains(":") & ~token.rlike(VALUED)
         bot = F.when(scoped, F.trim(F.substring_index(token, ":", 1))).otherwise(acc["bot"])
-        d = F.when(scoped, F.trim(F.substring_index(token, ":", -1))).otherwise(token)
+        d = F.when(scoped, F.trim(F.regexp_replace(token, "^[^:]*:", ""))).otherwise(token)
         return F.struct(bot.alias("bot"), F.when(d != "", F.array_append(acc["out"], F.struct(bot.alias("bot"), d.alias("d")))).otherwise(acc["out"]).alias("out"))
 
     parts = lambda v: F.filter(F.transform(F.split(F.lower(F.coalesce(v, F.lit(""))), ","), lambda t: F.trim(t)), lambda t: t != "")

@@ -72,14 +72,35 @@ def precision(counts: DataFrame) -> DataFrame:
     return counts.agg(of("correct").alias("correct"), of("false_positive").alias("wrong")).withColumn("precision", F.col("correct") / F.nullif(F.col("correct") + F.col("wrong"), F.lit(0)))
 
 
-def outcomes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What became of the first finding of each (site, check): removed, reduced, kept, or absent before.
+def outcomes(before: DataFrame, after: DataFrame, ran: DataFrame | None = None) -> DataFrame:
+    """What became of the first finding of each (site, check): removed, reduced, kept, absent before, or no output.
 
-    Both have ``(slug, check_id, position, severity, affected_urls)``.
+    Both have ``(slug, check_id, position, severity, affected_urls)`` and may have ``status``; a finding is reduced by a lower severity, fewer pages,
+    or a status that changed. ``ran(slug)`` has the sites whose second run gave a report.
     """
-    first = lambda df, p: df.groupBy("slug", "check_id").agg(F.min_by(severity.level(F.col("severity")), "position").alias(f"{p}_level"), F.min_by(F.size("affected_urls"), "position").alias(f"{p}_urls"))
+
+    def first(df: DataFrame, p: str) -> DataFrame:
+        status = F.col("status") if "status" in df.columns else F.lit("active")
+        of = lambda c, name: F.min_by(c, "position").alias(f"{p}_{name}")
+        return df.groupBy("slug", "check_id").agg(of(severity.level(F.col("severity")), "level"), of(F.size("affected_urls"), "urls"), of(status, "status"))
+
     j = first(before, "b").join(first(after, "a"), ["slug", "check_id"], "full")
-    return j.select("slug", "check_id", F.when(F.col("b_level").isNull(), "absent_in_scripted").when(F.col("a_level").isNull(), "removed").when((F.col("a_level") < F.col("b_level")) | (F.col("a_urls") < F.col("b_urls")), "reduced").otherwise("kept").alias("outcome"))
+    none = F.lit(False) if ran is None else ~F.coalesce("ran", F.lit(False))
+    if ran is not None:
+        j = j.join(ran.select("slug", F.lit(True).alias("ran")).distinct(), "slug", "left")
+    less = (F.col("a_level") < F.col("b_level")) | (F.col("a_urls") < F.col("b_urls")) | (F.col("a_status") != F.col("b_status"))
+    fate = F.when(none, "no_output").when(F.col("b_level").isNull(), "absent_in_scripted").when(F.col("a_level").isNull(), "removed").when(less, "reduced").otherwise("kept")
+    return j.select("slug", "check_id", fate.alias("outcome"))
+
+
+def listed(findings: DataFrame) -> DataFrame:
+    """Findings of medium severity or above, worst first within a site."""
+    return findings.where(severity.level(F.col("severity")) >= severity.level(F.lit("medium"))).select("slug", "check_id", "severity", "title", F.row_number().over(W.partitionBy("slug").orderBy(severity.level(F.col("severity")).desc(), "position")).alias("place"))
+
+
+def sums(runs: DataFrame) -> DataFrame:
+    """Wall time and cost over all runs: ``runs(slug, wall_s, cost)``; a missing figure counts as none."""
+    return runs.agg(F.count("*").alias("runs"), F.coalesce(F.sum("wall_s"), F.lit(0.0)).alias("wall_s"), F.percentile("wall_s", F.lit(0.5)).alias("median_s"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
 
 
 def stability(one: DataFrame, two: DataFrame) -> DataFrame:

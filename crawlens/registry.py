@@ -104,6 +104,93 @@ def viewport_findings(spark, sf_dir):
     return f.select("site_id", F.size("affected_urls").cast("long").alias("n_urls"), "blast_radius", "severity")
 
 
+#: What is wrong with the pages of ``varied``, by page_id modulo their number: (pattern, what stands there instead). Both engines read these.
+_FAULTS = (
+    ('<html lang="[a-z]*"', "<html"),
+    ("<h1>[^<]*</h1>", "<h2>Not a first heading</h2>"),
+    ("<title>[^<]*</title>", "<title></title>"),
+    ("<title>[^<]*</title>", "<title>Home</title>"),
+    ("</head>", '<link rel="canonical" href="https://elsewhere.invalid/page"></head>'),
+    ("</head>", '<meta http-equiv="refresh" content="0; url=https://elsewhere.invalid/"></head>'),
+    ("<title>[^<]*</title>", "<title>Page not found</title>"),
+    ("</head>", '<script type="application/ld+json">{not json</script></head>'),
+    ("</head>", '<meta name="viewport" content="width=device-width, user-scalable=no"></head>'),
+    ("</body>", '<a href="/a1">click here</a><a href="/a2">Read more</a><a href="/a3">here</a><a href="/a4">more</a></body>'),
+    ("</body>", '<img src="/i1.png"><img src="/i2.png"><img src="/i3.png"><img src="/i4.png" alt=""></body>'),
+    ("</head>", '<meta name="robots" content="noindex, follow"></head>'),
+    ("</head>", '<meta name="googlebot" content="max-snippet: 0"></head>'),
+    ("</body>", "<footer>Copyright 2019 and no later</footer></body>"),
+    ("(?s)<body>.*</body>", '<body><h1>One</h1><div id="root"></div></body>'),
+    ("</body>", "<button></button><button><i></i></button><button></button></body>"),
+    ("</body>", '<form action="/contact">' + "".join(f'<label>Say {i}<input name="f{i}"></label>' for i in range(9)) + "</form></body>"),
+    ("<title>[^<]*</title>", "<title>Just a moment...</title>"),
+)
+_CHECKED = (
+    "A2_snippet_suppressed", "A3_noindex", "A5_canonical_problem", "A10_meta_refresh", "A11_soft_404", "B4_empty_shell", "C1_structured_data_invalid", "C7_title_problem", "D2_stale_copyright",
+    "E1_form_friction", "E2_vague_link_text", "E3_unnamed_controls", "E4_images_missing_alt", "E5_no_lang", "E6_heading_structure", "E7_zoom_disabled", "E11_no_viewport",
+)
+_VARIED = f"(SELECT page_id, url, CASE page_id % {len(_FAULTS)} " + " ".join(f"WHEN {i} THEN regexp_replace(html, '{a}', '{b}')" for i, (a, b) in enumerate(_FAULTS)) + " END AS html FROM pages)"
+
+
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored pages, each with one fault written into its HTML: the given pages have hardly any to find."""
+    p = audit.stored_pages(spark, sf_dir)
+    html = F.col("html")
+    for i, (a, b) in enumerate(_FAULTS):
+        html = F.when(F.col("page_seq") % len(_FAULTS) == i, F.regexp_replace(F.col("html"), a, b)).otherwise(html)
+    return p.withColumn("html", html)
+
+
+def _found(pattern: str) -> str:
+    return f"len(regexp_extract_all(html, '{pattern}'))"
+
+
+_VAGUE = _found('(?i)<a href="[^"]*">(click here|read more|here|more)</a>')
+_HITS = f"""WITH v AS (SELECT page_id, {_BARE} AS site_id, url, html, {_TITLE} AS title FROM {_VARIED})
+SELECT site_id, url, 'E5_no_lang' AS check_id, '' AS note FROM v WHERE NOT regexp_matches(html, '<html[^>]* lang="[^"]+"')
+UNION ALL SELECT site_id, url, 'E6_heading_structure', '' FROM v WHERE NOT regexp_matches(html, '<h1[ >]')
+UNION ALL SELECT site_id, url, 'C7_title_problem', 'empty <title>' FROM v WHERE title = ''
+UNION ALL SELECT site_id, url, 'C7_title_problem', 'generic title ''' || title || '''' FROM v WHERE lower(title) IN ('home', 'index', 'untitled', 'welcome', 'new page', 'document', 'home page')
+UNION ALL SELECT site_id, url, 'A5_canonical_problem', regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) FROM v
+  WHERE regexp_matches(html, '<link rel="canonical"') AND regexp_extract(html, '<link rel="canonical" href="https://([^/"]*)', 1) <> site_id
+UNION ALL SELECT site_id, url, 'A10_meta_refresh', '' FROM v WHERE regexp_extract(html, '<meta http-equiv="refresh" content="0; url=([^"]*)"', 1) NOT IN ('', url)
+UNION ALL SELECT site_id, url, 'A11_soft_404', title FROM v WHERE regexp_matches(lower(title || ' | ' || regexp_extract(html, '<h1>([^<]*)', 1)), 'not found|404|page doesn''t exist|page does not exist|no longer available')
+UNION ALL SELECT site_id, url, 'C1_structured_data_invalid', CAST({_found('ld.json">[{]not')} AS VARCHAR) FROM v WHERE {_found('ld.json">[{]not')} > 0
+UNION ALL SELECT site_id, url, 'E7_zoom_disabled', regexp_extract(html, '<meta name="viewport" content="([^"]*)"', 1) FROM v WHERE regexp_matches(html, '<meta name="viewport" content="[^"]*user-scalable=(no|0)')
+UNION ALL SELECT site_id, url, 'E11_no_viewport', '' FROM v WHERE NOT regexp_matches(html, '<meta name="viewport"')
+UNION ALL SELECT site_id, url, 'E2_vague_link_text', CAST({_VAGUE} AS VARCHAR) FROM v WHERE {_VAGUE} >= greatest(3.0, {_found('<a href="')} * 0.15)
+UNION ALL SELECT site_id, url, 'E4_images_missing_alt', CAST({_found('<img src="[^"]*">')} AS VARCHAR) FROM v WHERE {_found('<img src="[^"]*">')} >= greatest(3.0, {_found('<img ')} * 0.3)
+UNION ALL SELECT site_id, url, 'A3_noindex', 'generic' FROM v WHERE regexp_matches(html, '<meta name="robots" content="noindex')
+UNION ALL SELECT site_id, url, 'A2_snippet_suppressed', '' FROM v WHERE regexp_matches(html, '<meta name="googlebot" content="max-snippet: ?0')
+UNION ALL SELECT site_id, url, 'D2_stale_copyright', regexp_extract(html, 'Copyright (20[0-9]+)', 1) FROM v WHERE regexp_extract(html, 'Copyright (20[0-9]+)', 1) BETWEEN '2000' AND '2024'
+UNION ALL SELECT site_id, url, 'B4_empty_shell', 'root' FROM v WHERE regexp_matches(html, '<div id="root"></div></body>')
+UNION ALL SELECT site_id, url, 'E3_unnamed_controls', CAST({_found('<button>(<i></i>)?</button>')} AS VARCHAR) FROM v WHERE {_found('<button>(<i></i>)?</button>')} >= 3
+UNION ALL SELECT site_id, url, 'E1_form_friction', '1' FROM v WHERE {_found('<input ')} > 8"""
+
+
+@query("page_check_hits", _HITS)
+def page_check_hits(spark, sf_dir):
+    """Seventeen single-page checks over all pages, each with one fault of its own."""
+    return checks.page_hits(audit.prepared(varied(spark, sf_dir))).where(F.col("check_id").isin(*_CHECKED)).select("site_id", "url", "check_id", "note")
+
+
+_SPREAD = f"""WITH h AS ({_HITS}), t AS (SELECT {_BARE} AS site_id, count(*) AS total FROM pages GROUP BY 1),
+g AS (SELECT site_id, check_id, count(DISTINCT url) AS n FROM h GROUP BY 1, 2)
+SELECT site_id, check_id, n AS n_urls,
+  CASE WHEN check_id IN ('E5_no_lang', 'E6_heading_structure', 'E7_zoom_disabled', 'E11_no_viewport', 'A2_snippet_suppressed', 'A3_noindex', 'A5_canonical_problem', 'B4_empty_shell', 'C7_title_problem') THEN CASE WHEN n >= total THEN 'site_wide' ELSE 'template' END
+       WHEN check_id = 'D2_stale_copyright' AND n >= total * 0.8 THEN 'site_wide'
+       WHEN check_id IN ('A10_meta_refresh', 'A11_soft_404', 'E1_form_friction') AND n = 1 THEN 'single_page' ELSE 'template' END AS blast_radius
+FROM g JOIN t USING (site_id)"""
+
+
+@query("check_spread", _SPREAD)
+def check_spread(spark, sf_dir):
+    """The same hits as findings: pages and reach per site and check."""
+    p = stored(audit.prepared(varied(spark, sf_dir)), "varied")
+    found = checks.findings(checks.page_hits(p).where(F.col("check_id").isin(*_CHECKED)), checks.readable(p).groupBy("site_id").agg(F.count("*").alias("total")))
+    return found.select("site_id", "check_id", F.size("affected_urls").cast("long").alias("n_urls"), "blast_radius")
+
+
 @query("ranked_findings")
 def ranked_findings(spark, sf_dir):
     f = audit.graded_findings(parsed(spark, sf_dir))
@@ -134,9 +221,9 @@ def check_fire_rates(spark, sf_dir):
     return evaluation.fire_rate(f, p.select("site_id").distinct().count())
 
 
-@query("bot_challenges", r"SELECT page_id FROM pages WHERE length(html) <= 60000 AND regexp_matches(substr(html, 1, 4000), '(?i)<title[^>]*>\s*(access denied|just a moment\.{0,3}|one more step)\s*</title>')")
+@query("bot_challenges", rf"SELECT page_id FROM {_VARIED} WHERE length(html) <= 60000 AND regexp_matches(substr(html, 1, 4000), '(?i)<title[^>]*>\s*(access denied|just a moment\.{{0,3}}|one more step)\s*</title>')")
 def bot_challenges(spark, sf_dir):
-    return pages(spark, sf_dir).where(crawl.challenge(F.col("html")).isNotNull()).select("page_id")
+    return varied(spark, sf_dir).where(crawl.challenge(F.col("html")).isNotNull()).select(F.col("page_seq").alias("page_id"))
 
 
 @query("homepage_links")
@@ -265,13 +352,13 @@ _F = "slug, check_id, severity, status"
 _SEVERE = "SELECT slug, check_id FROM {} WHERE status = 'active' AND severity IN ('critical', 'high')"
 
 
-def _found(spark, rows):
+def _findings(spark, rows):
     return spark.createDataFrame(rows, "slug string, check_id string, severity string, status string")
 
 
 @query("severe_changes", f"SELECT *, 'removed' AS change FROM ({_SEVERE.format(_values(_BEFORE, _F))} EXCEPT ALL {_SEVERE.format(_values(_AFTER, _F))}) UNION ALL SELECT *, 'added' FROM ({_SEVERE.format(_values(_AFTER, _F))} EXCEPT ALL {_SEVERE.format(_values(_BEFORE, _F))})")
 def severe_changes(spark, sf_dir):
-    return evaluation.changed(evaluation.severe(_found(spark, _BEFORE)), evaluation.severe(_found(spark, _AFTER)))
+    return evaluation.changed(evaluation.severe(_findings(spark, _BEFORE)), evaluation.severe(_findings(spark, _AFTER)))
 
 
 _VERDICTS = [("s1", "A3_noindex", "correct"), ("s1", "B1_fact_absent", "false_positive")]
@@ -279,12 +366,12 @@ _VERDICTS = [("s1", "A3_noindex", "correct"), ("s1", "B1_fact_absent", "false_po
 
 @query("verdict_tally", f"SELECT coalesce(verdict, 'unchecked') AS verdict, count(*) AS n FROM ({_SEVERE.format(_values(_BEFORE, _F))}) LEFT JOIN {_values(_VERDICTS, 'slug, check_id, verdict')} USING (slug, check_id) GROUP BY 1")
 def verdict_tally(spark, sf_dir):
-    return evaluation.tally(evaluation.severe(_found(spark, _BEFORE)), spark.createDataFrame(_VERDICTS, "slug string, check_id string, verdict string"))
+    return evaluation.tally(evaluation.severe(_findings(spark, _BEFORE)), spark.createDataFrame(_VERDICTS, "slug string, check_id string, verdict string"))
 
 
 @query("never_fired", f"SELECT check_id FROM {_values([(c,) for c, *_ in severity.SEVERITY], 'check_id')} EXCEPT SELECT check_id FROM {_values(_BEFORE, _F)}")
 def never_fired(spark, sf_dir):
-    return evaluation.never_fired(_found(spark, _BEFORE))
+    return evaluation.never_fired(_findings(spark, _BEFORE))
 
 
 @query("event_status_runs", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS isle FROM events)

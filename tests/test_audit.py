@@ -273,3 +273,47 @@ def test_streaming(spark, tmp_path):
     q = incremental.page_hits(incremental.stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination(120)
     assert "E5_no_lang" in {r["check_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+
+def test_scoped_directives(spark):
+    """A scope ends at its first colon; a value may have one of its own."""
+    from crawlens.operators import checks
+
+    rows = [("googlebot: max-snippet:0", [("googlebot", "max-snippet:0")]), ("otherbot: noindex, nofollow", [("otherbot", "noindex"), ("otherbot", "nofollow")]), ("max-snippet:0, noindex", [("robots", "max-snippet:0"), ("robots", "noindex")]), ("bingbot:nosnippet, googlebot: unavailable_after: 2026", [("bingbot", "nosnippet"), ("googlebot", "unavailable_after: 2026")]), (None, [])]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(rows)], "i int, h string").withColumn("metas", F.array().cast("array<struct<name: string, property: string, content: string>>"))
+    for r in df.select("i", checks.directives(F.col("h"), F.col("metas")).alias("d")).collect():
+        assert [(x["bot"], x["d"]) for x in r["d"]] == rows[r["i"]][1]
+
+
+def test_pages_from_the_wild():
+    """Deep structured data, paragraphs without end tags, deep nesting and megabytes."""
+    import time
+
+    from crawlens.functions import html as H
+
+    deep = '{"a":' * 50_000 + "1" + "}" * 50_000
+    f = H.facts(f'<script type="application/ld+json">{deep}</script><script type="application/ld+json">{{"@type": "Product", "name": "x"}}</script>', "")
+    assert (f["blocks"], f["malformed"], f["types"]) == (2, 1, ["product"])
+    start = time.time()
+    f = H.facts("<ul>" + "<li>item <p>some words of a paragraph" * 20_000 + "</ul>", "")
+    assert len(f["paragraphs"]) == 20_000 and set(f["paragraphs"]) == {"some words of a paragraph"}
+    f = H.facts("<div>" * 20_000 + "<p>inside" + "<table><tr><td>a<td>b<tr><td>c</table>" + "x" * 3_000_000, "")
+    assert f["extracted"].startswith("inside a b c x") and len(f["extracted"]) == 3_000_013  # beyond MAX_OPEN text belongs to what is open
+    assert time.time() - start < 60
+    f = H.facts("<p>one <b>bold<p>two</p><p>three<div>four</div><button><p>five</button><ul><li>a<ul><li>b</ul><li>c</ul>", "")
+    assert f["paragraphs"] == ["one bold", "two", "three", "five"] and f["extracted"].startswith("one bold two three four")
+
+
+def test_outcomes_of_a_second_run(spark):
+    from crawlens.operators import evaluation
+
+    schema = "slug string, check_id string, position int, severity string, affected_urls array<string>, status string"
+    before = [("s", "a", 1, "high", ["u", "v"], "active"), ("s", "b", 2, "high", ["u"], "active"), ("s", "c", 3, "low", ["u", "v"], "active"), ("s", "d", 4, "low", ["u"], "active"), ("t", "a", 1, "low", ["u"], "active"), ("s", "f", 5, "high", ["u"], "active")]
+    after = [("s", "a", 1, "high", ["u", "v"], "confirm_intent"), ("s", "b", 2, "medium", ["u"], "active"), ("s", "c", 3, "low", ["u"], "active"), ("s", "e", 4, "low", ["u"], "active"), ("s", "f", 5, "critical", ["u", "v"], "active")]
+    ran = spark.createDataFrame([("s",)], "slug string")
+    got = {(r["slug"], r["check_id"]): r["outcome"] for r in evaluation.outcomes(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema), ran).collect()}
+    assert got == {("s", "a"): "reduced", ("s", "b"): "reduced", ("s", "c"): "reduced", ("s", "d"): "removed", ("s", "e"): "absent_in_scripted", ("s", "f"): "kept", ("t", "a"): "no_output"}
+    listed = evaluation.listed(spark.createDataFrame(before, schema).withColumn("title", F.col("check_id"))).collect()
+    assert sorted((r["slug"], r["check_id"]) for r in listed) == [("s", "a"), ("s", "b"), ("s", "f")]
+    runs = spark.createDataFrame([("s", 3.0, 0.5), ("t", None, None)], "slug string, wall_s double, cost double")
+    assert evaluation.sums(runs).head().asDict() == {"runs": 2, "wall_s": 3.0, "median_s": 3.0, "cost": 0.5}
