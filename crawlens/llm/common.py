@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,10 +33,23 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is written here removes its shuffle files once it is written, instead of when the driver next collects garbage. Stages lost before that are run again as usual."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write the rows once into shared storage and read them back: lineage ends here, and lost executors cost nothing."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.options(**options).parquet(path)
+    with freed(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
