@@ -314,10 +314,12 @@ def all_hits(pages: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
     return own.unionByName(broken(pages, sitemap))
 
 
-def findings(hits: DataFrame, totals: DataFrame) -> DataFrame:
-    """``(site_id, check_id, title, evidence, affected_urls, blast_radius, confidence, measurement_basis, status, effort, coverage_pages)``."""
+def findings(hits: DataFrame, totals: DataFrame, more: dict[str, tuple] | None = None) -> DataFrame:
+    """Hits by site, check, key and status, with what SPEC (and ``more``, in its form) says of the check.
+
+    ``(site_id, check_id, title, evidence, affected_urls, blast_radius, confidence, measurement_basis, status, effort, coverage_pages)``."""
     spark = hits.sparkSession
-    spec = spark.createDataFrame([(k, *v) for k, v in SPEC.items()], "check_id string, title string, reach string, confidence string, measurement_basis string, effort string")
+    spec = spark.createDataFrame([(k, *v) for k, v in (SPEC | (more or {})).items()], "check_id string, title string, reach string, confidence string, measurement_basis string, effort string")
     g = hits.groupBy("site_id", "check_id", "key", "status").agg(F.array_sort(F.collect_set("url")).alias("affected_urls"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("note") != "", F.col("note")))), 1, 3), "; ").alias("sample"))
     g = g.join(F.broadcast(spec), "check_id").join(totals, "site_id", "left").withColumn("n", F.size("affected_urls")).withColumn("total", F.coalesce("total", F.lit(0)))
     r = F.col("reach")

@@ -38,22 +38,32 @@ def run_status(pages: DataFrame, sites: DataFrame) -> DataFrame:
     return s.select("site_id", F.when((F.col("n") == 0) & F.col("blocked_by_robots"), "blocked").when(F.col("ok") == 0, "failed").when((F.col("n") < F.least("max_pages", "urls_seen")) | F.col("failed") | (F.col("ok") < F.col("n")), "partial").otherwise("complete").alias("run_status"))
 
 
-def homepage_links(parsed: DataFrame) -> DataFrame:
-    """``(site_id, target, label)``: pages of the same site that the home page links to, with the first label."""
-    a = parsed.where("role = 'home'").select("site_id", "final_url", F.posexplode("f.anchors").alias("at", "a"))
-    href = F.trim(F.substring_index("a.href", "#", 1))
-    base = F.regexp_extract("final_url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract("final_url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
-    full = (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(U.scheme(F.col("final_url")), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(base, href)).otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), href))
+def resolved(href: Column, base: Column) -> Column:
+    """An address as seen from ``base``, without its fragment."""
+    href = F.trim(F.substring_index(href, "#", 1))
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(U.scheme(base), F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), href))
     )
-    a = a.where((href != "") & ~href.rlike("(?i)^(mailto|tel|javascript|data):")).withColumn("target", U.normalised(full))
+
+
+def linked(anchors: DataFrame) -> DataFrame:
+    """``anchors(site_id, final_url, at, href, label)`` → ``(site_id, target, label)``: pages of the same site, with the first label that says something."""
+    href = F.trim(F.substring_index("href", "#", 1))
+    a = anchors.where((href != "") & ~href.rlike("(?i)^(mailto|tel|javascript|data):")).withColumn("target", U.normalised(resolved(F.col("href"), F.col("final_url"))))
     a = a.where((U.bare_host(F.col("target")) == U.bare_host(F.col("final_url"))) & ~U.is_asset(F.col("target")))
-    label = F.when(F.col("a.text") != "", F.substring("a.text", 1, 80))
+    label = F.when(F.col("label") != "", F.substring("label", 1, 80))
     return a.groupBy("site_id", "target").agg(F.min_by(label, F.when(label.isNotNull(), F.col("at"))).alias("label"))
 
 
+def homepage_links(parsed: DataFrame) -> DataFrame:
+    """``(site_id, target, label)``: pages of the same site that the home page links to, with the first label."""
+    a = parsed.where("role = 'home'").select("site_id", "page_seq", "final_url", F.posexplode("f.anchors").alias("at", "a"))
+    return linked(a.select("site_id", "final_url", F.struct("page_seq", "at").alias("at"), "a.href", F.col("a.text").alias("label")))
+
+
 def frontier(links: DataFrame, urls: DataFrame) -> DataFrame:
     """``urls(site_id, url, seq)`` in crawl order: two linked pages of each role that carries facts come first."""
     role = U.role(F.col("target"), anchor=F.col("label"))

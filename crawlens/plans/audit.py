@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlens.functions import html, text as X, urls as U
 from crawlens.operators import checks, robots, severity
+from crawlens.operators.plugins import SiteCheck
 
 
 def stored_pages(spark: SparkSession, sf_dir: str, audited_at: str = "2026-09-12T00:00:00Z") -> DataFrame:
     """The ``pages`` table as crawled pages: a site is a host without ``www.``; status, headers and redirects are unknown, so they count as plain."""
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    p = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     site = U.bare_host(F.col("url"))
     return p.select(
         site.alias("site_id"), F.col("page_id").alias("page_seq"), "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), "html",
@@ -19,6 +22,12 @@ def stored_pages(spark: SparkSession, sf_dir: str, audited_at: str = "2026-09-12
     )
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out to all, because a page costs far more to parse than to move; a larger one stays where it is."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def prepared(pages: DataFrame) -> DataFrame:
     """Parsed pages with their roles."""
     p = html.parsed(pages)
@@ -27,10 +36,16 @@ def prepared(pages: DataFrame) -> DataFrame:
     return p
 
 
-def graded_findings(parsed: DataFrame, sitemap: DataFrame | None = None, more: DataFrame | None = None, decided: DataFrame | None = None) -> DataFrame:
-    """All findings of all sites, graded and ranked. ``more`` adds site-level findings or claims, ``decided`` the agents' access."""
+def graded_findings(parsed: DataFrame, sitemap: DataFrame | None = None, more: DataFrame | None = None, decided: DataFrame | None = None, plugged: Sequence[type[SiteCheck]] = (), hits: DataFrame | None = None) -> DataFrame:
+    """All findings of all sites, graded and ranked.
+
+    ``more`` adds site-level findings or claims, ``decided`` the agents' access; ``hits`` are those of the ``plugged`` checks, from ``plugins.run``.
+    """
     totals = checks.readable(parsed).groupBy("site_id").agg(F.count("*").alias("total"))
-    found = checks.findings(checks.all_hits(parsed, sitemap), totals)
+    own = checks.all_hits(parsed, sitemap)
+    if hits is not None:
+        own = own.unionByName(hits)
+    found = checks.findings(own, totals, {c.name: c.spec for c in plugged})
     if more is not None:
         found = found.unionByName(more, allowMissingColumns=True)
     if decided is not None:
