@@ -90,7 +90,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank = np.zeros(n, np.int64)
     for i in range(known):
         rank <<= bits
-        rank[: n - i] |= text[i:]
+        rank[: max(0, n - i)] |= text[i:]
     rank = np.unique(rank, return_inverse=True)[1]
     while known < depth:
         after = np.zeros(n, np.int64)
