@@ -213,7 +213,7 @@ def page_hits(pages: DataFrame) -> DataFrame:
         _hit("X1_low_quotability", (F.size(fit) > 0) & (F.size(weak) >= F.greatest(F.lit(2), F.floor(F.size(fit) / 3))), F.size(weak)),
         _hit("D1_no_date_signals", article & (F.size(days) == 0)),
         _hit("D2_stale_copyright", year < F.year("audited_at") - 1, year),
-        _hit("D3_content_stale", article & (newest > STALE_MONTHS), F.bround(newest)),
+        _hit("D3_content_stale", article & (newest > STALE_MONTHS), F.bround(newest).cast("int")),
         _hit("E1_form_friction", F.size(heavy) > 0, F.size(heavy)),
         _hit("E2_vague_link_text", (F.size("f.anchors") > 0) & (F.size(vague) >= F.greatest(F.lit(3.0), F.size("f.anchors") * 0.15)), F.size(vague)),
         _hit("E3_unnamed_controls", F.size(nameless) >= 3, F.size(nameless)),

@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlens.functions import html, text as X, urls as U
-from crawlens.operators import checks, robots, severity
+from crawlens.operators import checks, crawl, robots, severity
 from crawlens.operators.plugins import SiteCheck
+from crawlens.sources.storage import stored
+
+
+NOTHING = "No blocking problems detected in the checks that ran; see proactive recommendations."
 
 
 def stored_pages(spark: SparkSession, sf_dir: str, audited_at: str = "2026-09-12T00:00:00Z") -> DataFrame:
@@ -28,12 +32,23 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
+def walled(pages: DataFrame) -> DataFrame:
+    """Pages whose HTML is a bot challenge are not the site: they lose it, and ``error`` says whose it is."""
+    wall = crawl.challenge(F.col("html"))
+    p = pages if "error" in pages.columns else pages.withColumn("error", F.lit(None).cast("string"))
+    return p.withColumn("error", F.coalesce("error", F.concat(F.lit("bot_challenge:"), wall))).withColumn("html", F.when(~F.coalesce("error", F.lit("")).startswith("bot_challenge:"), F.col("html")))
+
+
 def prepared(pages: DataFrame) -> DataFrame:
-    """Parsed pages with their roles."""
-    p = html.parsed(pages)
-    if "role" not in p.columns:
-        p = p.withColumn("role", U.role(F.col("url"), F.col("f.title")))
-    return p
+    """Parsed pages, challenges apart, with their roles: by address and title, and by the label of the home page's link to them."""
+    p = html.parsed(walled(pages))
+    if "role" in p.columns:
+        return p
+    p = stored(p, "read")  # once for the labels, once for the pages
+    home = p.where(U.is_root(F.col("url"))).withColumn("role", F.lit("home"))
+    labels = crawl.homepage_links(home).where("label IS NOT NULL").select("site_id", F.col("target").alias("_target"), F.col("label").alias("_label"))
+    p = p.withColumn("_target", U.normalised(F.col("url"))).join(labels, ["site_id", "_target"], "left")
+    return p.withColumn("role", U.role(F.col("url"), F.col("f.title"), F.col("_label"))).drop("_target", "_label")
 
 
 def graded_findings(parsed: DataFrame, sitemap: DataFrame | None = None, more: DataFrame | None = None, decided: DataFrame | None = None, plugged: Sequence[type[SiteCheck]] = (), hits: DataFrame | None = None) -> DataFrame:
@@ -56,20 +71,29 @@ def graded_findings(parsed: DataFrame, sitemap: DataFrame | None = None, more: D
 def site_findings(sites: DataFrame, parsed: DataFrame, report: DataFrame, odd_tokens: DataFrame) -> DataFrame:
     """A1, A6, A7 and A8 as finding rows. ``sites(site_id, start_url, run_status, sitemap_urls, sitemaps_fetched)``."""
     ok = checks.readable(parsed).groupBy("site_id").agg(F.count("*").alias("total"))
-    seen = parsed.groupBy("site_id").agg(F.array_sort(F.collect_set("status")).alias("statuses"))
+    error = F.nullif(F.col("error"), F.lit("")) if "error" in parsed.columns else F.lit(None).cast("string")
+    wall = F.when(error.startswith("bot_challenge:"), F.substring_index(error, ":", -1))
+    of = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")  # noqa: E731  few different values
+    seen = parsed.groupBy("site_id").agg(F.array_sort(F.collect_set(F.when(F.col("status") > 0, F.col("status")))).alias("statuses"), of(wall).alias("walls"), of(error).alias("errors"))
     s = sites.join(ok, "site_id", "left").join(seen, "site_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     s = s.join(robots.block_findings(report).withColumnRenamed("status", "a1"), "site_id", "left")
     s = s.join(odd_tokens.groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_set("token")), ", ").alias("tokens")), "site_id", "left")
     refused = F.filter(F.coalesce("statuses", F.array().cast("array<int>")), lambda c: c.isin(401, 403, 429, 503))
     dark = F.col("total") == 0
-    why = F.when(F.col("run_status") == "blocked", "robots.txt disallows the crawl").when(F.size(refused) > 0, F.concat(F.lit("HTTP "), F.array_join(refused.cast("array<string>"), "/"))).otherwise("no page returned readable HTML")
+    blocked, met, codes = F.col("run_status") == "blocked", F.coalesce("walls", F.lit("")) != "", F.array_join(refused.cast("array<string>"), "/")
+    title = F.when(blocked, None).when(met, "Site answers automated clients with a bot challenge").when(F.size(refused) > 0, F.concat(F.lit("Site refuses automated clients (HTTP "), codes, F.lit(")")))
+    why = (
+        F.when(blocked, "robots.txt disallows the crawl").when(met, F.concat(F.lit("a bot challenge stands in the place of the page: "), F.col("walls")))
+        .when(F.size(refused) > 0, F.concat(F.lit("HTTP "), codes)).when(F.coalesce("errors", F.lit("")) != "", F.concat(F.lit("requests failed: "), F.col("errors")))
+        .otherwise(F.concat(F.lit("no page returned readable HTML; HTTP status seen: "), F.coalesce(F.nullif(F.array_join(F.col("statuses").cast("array<string>"), ", "), F.lit("")), F.lit("none"))))
+    )
 
-    def row(check, when, evidence, status=F.lit("active"), confidence=None):
+    def row(check, when, evidence, status=F.lit("active"), confidence=None, named=F.lit(None)):
         title, reach, sure, basis, effort = checks.SPEC[check]
-        return F.when(when, F.struct(F.lit(check).alias("check_id"), F.lit(title).alias("title"), evidence.alias("evidence"), F.lit(reach).alias("blast_radius"), (F.lit(sure) if confidence is None else confidence).alias("confidence"), F.lit(basis).alias("measurement_basis"), status.alias("status"), F.lit(effort).alias("effort")))
+        return F.when(when, F.struct(F.lit(check).alias("check_id"), F.coalesce(named, F.lit(title)).alias("title"), evidence.alias("evidence"), F.lit(reach).alias("blast_radius"), (F.lit(sure) if confidence is None else confidence).alias("confidence"), F.lit(basis).alias("measurement_basis"), status.alias("status"), F.lit(effort).alias("effort")))
 
     rows = F.array(
-        row("A7_site_unreadable", dark, why, confidence=F.when(F.size(refused) > 0, "heuristic").otherwise("deterministic")),
+        row("A7_site_unreadable", dark, why, confidence=F.when(~blocked & (met | (F.size(refused) > 0)), "heuristic").otherwise("deterministic"), named=title),
         row("A1_retrieval_agent_blocked", ~dark & F.col("a1").isNotNull(), F.array_join("agents", ", "), F.coalesce("a1", F.lit("active"))),
         row("A6_sitemap_missing", ~dark & (F.size("sitemap_urls") == 0) & (F.col("sitemaps_fetched") == 0), F.lit("no sitemap was declared or found")),
         row("A8_robots_token_unrecognised", ~dark & F.col("tokens").isNotNull(), F.coalesce("tokens", F.lit(""))),
@@ -90,7 +114,7 @@ def report(findings: DataFrame) -> DataFrame:
         F.to_json(first).alias("prioritized_actions"), F.to_json(items).alias("findings"),
     )
     head = severity.headline(findings)
-    text = F.when(F.col("active") > 0, F.concat(F.col("active").cast("string"), F.lit(" finding(s); most severe: "), F.col("worst"))).otherwise("No blocking problems detected in the checks that ran; see proactive recommendations.")
+    text = F.when(F.col("active") > 0, F.concat(F.col("active").cast("string"), F.lit(" finding(s); most severe: "), F.col("worst"))).otherwise(NOTHING)
     return g.join(head, "site_id", "left").withColumn("headline", text).drop("active", "worst")
 
 
@@ -114,14 +138,3 @@ def proactive(parsed: DataFrame, findings: DataFrame, sites: DataFrame) -> DataF
         "first_screen": ~F.coalesce("opens", F.lit(True)), "deep_routes": F.array_contains("ids", "E10_no_next_step") | ~F.coalesce("routes", F.lit(True)),
     }
     return s.select("site_id", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("applies")) for k, v in rules.items()))).alias("r")).select("site_id", "r.*")
-
-
-def profiles(parsed: DataFrame) -> DataFrame:
-    """One row of figures per page, the fields that reviewers' assertions may name."""
-    f = lambda n: F.col(f"f.{n}")
-    return parsed.select(
-        "site_id", "url", "final_url", "status", "role", F.size("redirect_chain").alias("redirect_hops"), f("title").alias("title"), f("lang").alias("lang"), F.get(f("h1"), F.lit(0)).alias("h1"), F.size("f.h1").alias("h1_count"),
-        X.words(f("extracted")).alias("words_extracted"), X.words(f("full")).alias("words_full"), F.size("f.anchors").alias("links"), F.size("f.forms").alias("forms"), F.size("f.images").alias("images"),
-        F.size(F.filter("f.images", lambda i: i["alt"].isNull())).alias("images_missing_alt"), f("canonical").alias("canonical"), f("description").alias("description"), f("viewport").alias("viewport"), f("types").alias("jsonld_types"),
-        f("malformed").alias("jsonld_malformed"), f("sameas").alias("sameas"), f("dates").alias("dates"), f("islands").alias("payload_islands"),
-    )

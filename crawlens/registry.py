@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from crawlens.functions import text as X, urls as U
-from crawlens.operators import checks, claims, crawl, evaluation, review, robots, severity
-from crawlens.plans import audit
+from crawlens.operators import checks, crawl, evaluation, review, robots, severity, skips
+from crawlens.plans import audit, reports
 from crawlens.sources.storage import stored
 
 QUERIES: dict = {}
@@ -31,8 +31,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_PARSED: dict[tuple, DataFrame] = {}
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(audit.prepared(audit.stored_pages(spark, sf_dir)), "parsed")
+    """The stored pages, parsed once in a session for as long as their files stay as they are."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet{{,/*}}"))
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in files))
+    if key not in _PARSED:
+        _PARSED[key] = stored(audit.prepared(audit.stored_pages(spark, sf_dir)), "parsed")
+    return _PARSED[key]
 
 
 # --- URLs -------------------------------------------------------------------------------------------------------------
@@ -146,7 +155,9 @@ def _found(pattern: str) -> str:
 
 
 _VAGUE = _found('(?i)<a href="[^"]*">(click here|read more|here|more)</a>')
-_HITS = f"""WITH v AS (SELECT page_id, {_BARE} AS site_id, url, html, {_TITLE} AS title FROM {_VARIED})
+#: A bot challenge in the place of a page, which no check sees.
+_WALLED = r"(length(html) <= 60000 AND regexp_matches(substr(html, 1, 4000), '(?i)<title[^>]*>\s*(access denied|just a moment\.{0,3}|one more step)\s*</title>'))"
+_HITS = f"""WITH v AS (SELECT page_id, {_BARE} AS site_id, url, html, {_TITLE} AS title FROM {_VARIED} WHERE NOT {_WALLED})
 SELECT site_id, url, 'E5_no_lang' AS check_id, '' AS note FROM v WHERE NOT regexp_matches(html, '<html[^>]* lang="[^"]+"')
 UNION ALL SELECT site_id, url, 'E6_heading_structure', '' FROM v WHERE NOT regexp_matches(html, '<h1[ >]')
 UNION ALL SELECT site_id, url, 'C7_title_problem', 'empty <title>' FROM v WHERE title = ''
@@ -174,7 +185,7 @@ def page_check_hits(spark, sf_dir):
     return checks.page_hits(audit.prepared(varied(spark, sf_dir))).where(F.col("check_id").isin(*_CHECKED)).select("site_id", "url", "check_id", "note")
 
 
-_SPREAD = f"""WITH h AS ({_HITS}), t AS (SELECT {_BARE} AS site_id, count(*) AS total FROM pages GROUP BY 1),
+_SPREAD = f"""WITH h AS ({_HITS}), t AS (SELECT {_BARE} AS site_id, count(*) AS total FROM {_VARIED} WHERE NOT {_WALLED} GROUP BY 1),
 g AS (SELECT site_id, check_id, count(DISTINCT url) AS n FROM h GROUP BY 1, 2)
 SELECT site_id, check_id, n AS n_urls,
   CASE WHEN check_id IN ('E5_no_lang', 'E6_heading_structure', 'E7_zoom_disabled', 'E11_no_viewport', 'A2_snippet_suppressed', 'A3_noindex', 'A5_canonical_problem', 'B4_empty_shell', 'C7_title_problem') THEN CASE WHEN n >= total THEN 'site_wide' ELSE 'template' END
@@ -199,12 +210,10 @@ def ranked_findings(spark, sf_dir):
 
 @query("site_reports")
 def site_reports(spark, sf_dir):
-    return audit.report(stored(audit.graded_findings(parsed(spark, sf_dir)), "findings"))
-
-
-@query("page_profiles")
-def page_profiles(spark, sf_dir):
-    return audit.profiles(parsed(spark, sf_dir))
+    """The whole report of every site."""
+    p = parsed(spark, sf_dir)
+    sites, found = reports.stored_sites(p), stored(audit.graded_findings(p), "findings")
+    return reports.full(sites, found, skips.skipped(p), audit.proactive(p, found, sites))
 
 
 @query("proactive_rules")
@@ -397,3 +406,6 @@ WHEN length(a) - length(replace(a, '.', '')) > 1 OR regexp_full_match(a, '\\d{1,
 @query("amounts", f"SELECT a, round(try_cast({_PLAIN} AS DOUBLE), 2) AS amount FROM {_values([(a,) for a in _AMOUNTS], 'a')}")
 def amounts(spark, sf_dir):
     return spark.createDataFrame([(a,) for a in _AMOUNTS], "a string").select("a", X.amount(F.col("a")).alias("amount"))
+
+
+from crawlens import registry_audit  # noqa: E402,F401  adds its queries to the two tables above
