@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crawlens.functions import text as X, urls as U
+from crawlens.sources.storage import stored
 
 # Fixed values of the catalogue.
 GATING = ("robots", "googlebot", "bingbot", "oai-searchbot", "chatgpt-user", "claude-searchbot", "claude-user", "perplexitybot", "perplexity-user", "applebot")
@@ -308,7 +309,7 @@ def unanchored(pages: DataFrame) -> DataFrame:
 
 def all_hits(pages: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
     totals = readable(pages).groupBy("site_id").agg(F.count("*").alias("total"))
-    own = noindex_status(page_hits(pages), totals)
+    own = noindex_status(stored(page_hits(pages), "hits"), totals)  # all expressions once, and the hits twice
     for part in (shared_titles, filler, conflicting_prices, unlabelled, orientation, unanchored):
         own = own.unionByName(part(pages))
     return own.unionByName(broken(pages, sitemap))
