@@ -45,6 +45,18 @@ def freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """What runs here hands documents to Python workers in batches of few rows, so that neither side of the pipe holds thousands of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write the rows once into shared storage and read them back: lineage ends here, and lost executors cost nothing."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
