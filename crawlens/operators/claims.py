@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from crawlens.operators import severity
+from crawlens.operators import quotes, severity
+from crawlens.sources.storage import stored
 
 # What a claim may say, and which gates its mechanism speaks to.
 MAX_CLAIMS, MAX_FIXES, MAX_ASSERTIONS, MAX_STEPS, MAX_STEP = 6, 5, 8, 8, 300
@@ -48,27 +49,38 @@ def assertions(claims: DataFrame, pages: DataFrame, fields: DataFrame) -> DataFr
     """``(site_id, claim, n, url, holds, positive, everywhere, problem)`` for every entry of evidence.
 
     ``claims(site_id, claim, evidence)``; ``pages(site_id, url, ok, html, extracted, full, headers)``; ``fields(site_id, url, path,
-    value)``. Evidence that holds on every readable page of two or more proves nothing.
+    value)``. Evidence that holds on every readable page of two or more proves nothing; an index of trigrams finds the pages that hold a quotation.
     """
     a = claims.select("site_id", "claim", F.posexplode("evidence").alias("n", "e")).select("site_id", "claim", "n", "e.*")
-    hay = lambda p: F.when(F.col("type").startswith("html"), norm(F.col(f"{p}.html"))).when(F.col("type") == "header_contains", norm(F.coalesce(F.element_at(F.col(f"{p}.headers"), F.lower("header")), F.lit("")))).when(F.coalesce("scope", F.lit("extracted")) == "full", norm(F.col(f"{p}.full"))).otherwise(norm(F.col(f"{p}.extracted")))
     needle = norm(F.col("value"))
     text = F.col("type").isin("html_contains", "html_lacks", "text_contains", "text_lacks", "header_contains")
-    with_all = a.join(pages.alias("o"), "site_id", "left")  # every page of the site: a claim names few, a site has tens
-    fo = fields.select("site_id", F.col("url").alias("_fu"), F.col("path").alias("_fp"), F.col("value").alias("_fv"))
-    with_all = with_all.join(fo, (with_all["site_id"] == fo["site_id"]) & (F.col("o.url") == F.col("_fu")) & (F.col("path") == F.col("_fp")), "left").drop(fo["site_id"])
-    found = F.when(text, F.contains(hay("o"), needle)).otherwise(field_holds(F.col("_fv"), F.col("op"), F.col("value")))
-    mine = F.col("o.url") == a["url"]
-    own = lambda c: F.max(F.when(mine, c))
-    g = with_all.withColumn("found", found).groupBy("site_id", "claim", "n", a["url"], "type", "value", "path", "op", "header").agg(
-        F.coalesce(F.bool_or(mine), F.lit(False)).alias("crawled"), F.coalesce(F.bool_or(mine & F.col("o.ok")), F.lit(False)).alias("ok"), own(F.col("found").cast("int")).alias("found"), F.coalesce(F.bool_or(mine & F.col("_fp").isNotNull()), F.lit(False)).alias("has_field"),
-        F.count_if(F.col("o.ok")).alias("n_ok"), F.count_if(F.col("o.ok") & F.coalesce(F.col("found"), F.lit(False))).alias("n_found"),
+    kind = F.when(F.col("type").startswith("html"), "html").when(F.col("type") == "header_contains", F.concat(F.lit("header:"), F.lower(F.coalesce("header", F.lit(""))))).when(F.col("type").startswith("text"), F.when(F.col("scope") == "full", "full").otherwise("extracted"))
+    a = stored(a.withColumn("kind", kind).withColumn("quote", needle), "evidence")
+    texts = pages.select("site_id", "url", F.explode(F.create_map(*(x for k in ("html", "extracted", "full") for x in (F.lit(k), norm(F.col(k)))))).alias("kind", "text"))
+    told = pages.select("site_id", "url", F.explode("headers").alias("name", "said")).select("site_id", "url", F.concat(F.lit("header:"), F.lower("name")).alias("kind"), norm(F.col("said")).alias("text"))
+    asked = a.where(text & (F.length("quote") >= MIN_LACKS))
+    found = quotes.places(asked, texts.unionByName(told.join(asked.select("site_id", "kind").distinct(), ["site_id", "kind"], "left_semi")))
+    by_text = asked.select("site_id", "claim", "n", "kind", "quote").join(found.withColumnRenamed("url", "at"), ["site_id", "kind", "quote"]).select("site_id", "claim", "n", "at")
+    fo = fields.select("site_id", F.col("url").alias("at"), "path", F.col("value").alias("_fv"))
+    met = a.where("type = 'field'").join(fo, ["site_id", "path"])
+    held = met.where(field_holds(F.col("_fv"), F.col("op"), F.col("value"))).select("site_id", "claim", "n", "at")
+    ok = pages.select("site_id", F.col("url").alias("at"), "ok")
+    everywhere = by_text.unionByName(held).distinct().join(ok.where("ok"), ["site_id", "at"], "left_semi").groupBy("site_id", "claim", "n").agg(F.count("*").alias("n_found"))
+    mine = by_text.unionByName(held).distinct().select("site_id", "claim", "n", F.col("at").alias("url"), F.lit(1).alias("hit"))
+    asked_of = met.where("url = at").select("site_id", "claim", "n", F.lit(True).alias("has_field"), field_holds(F.col("_fv"), F.col("op"), F.col("value")).isNotNull().alias("told"))
+    n_ok = pages.where("ok").groupBy("site_id").agg(F.count("*").alias("n_ok"))
+    g = (
+        a.join(pages.select("site_id", "url", "ok", F.lit(True).alias("crawled")), ["site_id", "url"], "left").join(mine, ["site_id", "claim", "n", "url"], "left").join(asked_of, ["site_id", "claim", "n"], "left")
+        .join(everywhere, ["site_id", "claim", "n"], "left").join(n_ok, "site_id", "left")
     )
+    no = lambda c: F.coalesce(c, F.lit(False))
+    hit = F.coalesce("hit", F.lit(0))
+    g = g.withColumns({"crawled": no("crawled"), "ok": no("ok"), "has_field": no("has_field"), "n_ok": F.coalesce("n_ok", F.lit(0)), "n_found": F.coalesce("n_found", F.lit(0)), "found": F.when(text | no("told"), hit)})
     contains = F.col("type").endswith("contains")
     weak = F.col("op").isin("gt", "lt", "nonempty", "ne", "lacks", "empty") | F.substring_index("path", ".", 1).isin(*IDENTITY) | ((F.col("op") == "eq") & (F.col("value").isNull() | (F.col("value") == "")))
     positive = F.when(text, contains).otherwise(~weak)
     holds = F.when(text & ~contains, F.col("found") == 0).otherwise(F.col("found") == 1)
-    short = F.length(needle) < F.when(contains, MIN_CONTAINS).otherwise(MIN_LACKS)
+    short = F.length("quote") < F.when(contains, MIN_CONTAINS).otherwise(MIN_LACKS)
     problem = (
         F.when(~F.col("crawled"), "evidence names a URL that was not crawled").when(text & F.col("value").isNull(), "needs a string 'value'").when(text & short, "value is too short to be evidence")
         .when((F.col("type") == "header_contains") & F.coalesce(F.col("header") == "", F.lit(True)), "needs a 'header' name").when(text & (F.col("type") != "header_contains") & ~F.col("ok"), "page has no readable HTML")
@@ -76,7 +88,7 @@ def assertions(claims: DataFrame, pages: DataFrame, fields: DataFrame) -> DataFr
         .when(~text & ~F.col("has_field"), "no such profile field").when(~text & F.col("op").isin("gt", "lt") & F.col("found").isNull(), "needs numbers")
         .when(holds & positive & (F.col("n_ok") >= 2) & (F.col("n_found") == F.col("n_ok")), "evidence is true of every page").when(~F.coalesce(holds, F.lit(False)), "evidence does not hold")
     )
-    return g.select("site_id", "claim", "n", a["url"], F.coalesce(holds, F.lit(False)).alias("holds"), positive.alias("positive"), problem.alias("problem"))
+    return g.select("site_id", "claim", "n", "url", F.coalesce(holds, F.lit(False)).alias("holds"), positive.alias("positive"), problem.alias("problem"))
 
 
 def verified(claims: DataFrame, tested: DataFrame, ok_pages: DataFrame) -> DataFrame:

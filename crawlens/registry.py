@@ -408,4 +408,4 @@ def amounts(spark, sf_dir):
     return spark.createDataFrame([(a,) for a in _AMOUNTS], "a string").select("a", X.amount(F.col("a")).alias("amount"))
 
 
-from crawlens import registry_audit  # noqa: E402,F401  adds its queries to the two tables above
+from crawlens import registry_audit, registry_review  # noqa: E402,F401  they add their queries to the two tables above

@@ -33,6 +33,11 @@ def sites(bundle_rows: DataFrame) -> DataFrame:
 def pages(bundle_rows: DataFrame) -> DataFrame:
     """One row per page in crawl order, header names in small letters."""
     p = bundle_rows.select(F.col("site").alias("site_id"), "start_url", F.to_timestamp("audited_at").alias("audited_at"), F.posexplode("pages").alias("page_seq", "p")).select("site_id", "start_url", "audited_at", "page_seq", "p.*")
+    return tidy(p)
+
+
+def tidy(p: DataFrame) -> DataFrame:
+    """Header names in small letters, no null list of redirects, and a final address for every page."""
     small = F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     return p.withColumn("headers", small).withColumn("redirect_chain", F.coalesce("redirect_chain", F.array().cast("array<string>"))).withColumn("final_url", F.coalesce("final_url", "url"))
 
