@@ -45,7 +45,7 @@ def resolved(href: Column, base: Column) -> Column:
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(U.scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), href))
+        .when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), href))
     )
 
 

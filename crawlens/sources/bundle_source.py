@@ -74,7 +74,9 @@ class Reader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
         return [File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.base_name.endswith(SUFFIX) and (wanted is None or x.base_name in wanted)]
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: File | None) -> Iterator[tuple]:
+        if partition is None:  # no file
+            return
         store, _ = _store(self.path)
         with store.open_input_stream(partition.path) as f:
             bundle = json.loads(f.read())
