@@ -18,11 +18,11 @@ ROLE_PATHS = (
     ("utility", r"(?i)/(log-?in|sign-?in|sign-?up|register|account|cart|basket|checkout|preview|thank-?you|thanks|unsubscribe|print|amp|404|error|sitemap)(/|$|\?)"),
 )
 ROLE_WORDS = (
-    ("pricing", "pricing prices price plans plan subscribe subscriptions buy preise tarifs tarifas precios prezzi prijzen priser cennik precos"),
-    ("contact", "contact kontakt contacto contatti contato contactez touch"),
-    ("about", "about company story who über ueber nosotros somos siamo sommes"),
-)
-CONNECTORS = "and our us the we are get in sales team nous uns quienes chi qui de la le page"
+    ("pricing", ("pricing", "prices", "price", "plans", "plan", "subscribe", "subscriptions", "buy", "preise", "tarifs", "tarifas", "precios", "prezzi", "prijzen", "priser", "cennik", "precos")),
+    ("contact", ("contact", "kontakt", "contacto", "contatti", "contato", "contactez", "touch")),
+    ("about", ("about", "company", "story", "who", "über", "ueber", "nosotros", "somos", "siamo", "sommes")),
+)
+CONNECTORS = ("and", "our", "us", "the", "we", "are", "get", "in", "sales", "team", "nous", "uns", "quienes", "chi", "qui", "de", "la", "le", "page")
 TITLE_PARTS = r"\s[|–—·:-]\s"
 PRIORITY_ROLES = ("pricing", "contact", "about", "product")
 
@@ -78,8 +78,8 @@ def role_of_words(label: Column) -> Column:
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(label), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
     found = F.lit(None).cast("string")
     for role, words in reversed(ROLE_WORDS):
-        own = F.array(*map(F.lit, words.split()))
-        near = F.array(*map(F.lit, (words + " " + CONNECTORS).split()))
+        own = F.array(*map(F.lit, words))
+        near = F.array(*map(F.lit, words + CONNECTORS))
         found = F.when(F.arrays_overlap(tokens, own) & (F.size(F.array_except(tokens, near)) == 0), role).otherwise(found)
     return found
 

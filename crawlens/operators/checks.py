@@ -13,7 +13,10 @@ VALUED = "^(max-snippet|max-image-preview|max-video-preview|unavailable_after)"
 SOFT_404 = ("not found", "404", "page doesn't exist", "page does not exist", "no longer available", "seite nicht gefunden", "page introuvable", "página no encontrada")
 GENERIC_TITLES = ("home", "index", "untitled", "welcome", "new page", "document", "home page")
 VAGUE = ("click here", "here", "read more", "more", "learn more", "this", "link", "continue", "details", "find out more")
-STOP = "the a an and or of for to in on with your our we you is are be by at from that this it as home welcome".split()
+STOP = (
+    "the", "a", "an", "and", "or", "of", "for", "to", "in", "on", "with", "your", "our", "we", "you", "is", "are", "be", "by", "at", "from", "that", "this", "it", "as", "home",
+    "welcome",
+)
 CONVERSION = "contact|demo|quote|signup|sign-up|register|checkout|order|apply"
 CONTENT_ROLES = ("home", "product", "pricing", "about", "blog", "contact")
 KEY_ROLES = ("pricing", "product", "contact")
@@ -22,10 +25,13 @@ PRICING_HEADING = r"(?i)\b(pricing|prices?|price list|subscriptions?|tariffs?|fe
 CONTACT_LEAF = r"(?i)contact|kontakt|contatt|contato|contacto|get-in-touch"
 ORG_SUFFIX = "(organization|organisation|business|store|corporation|restaurant|company|agency|shop)$"
 ORG_TYPES = (
-    "dentist physician attorney hotel bakery cafeorcoffeeshop barorpub brand hospital pharmacy school collegeoruniversity library museum gym healthclub realestateagent autodealer autorepair medicalclinic "
-    "lodgingbusiness foodestablishment professionalservice financialservice bank insuranceagency travelagency hairsalon beautysalon daycare veterinarycare hardwarestore clothingstore electronicsstore grocerystore"
-).split()
-MORE_ORG_TYPES = "newsmediaorganization educationalorganization governmentorganization sportsorganization medicalorganization ngo airline".split()
+    "dentist", "physician", "attorney", "hotel", "bakery", "cafeorcoffeeshop", "barorpub", "brand", "hospital", "pharmacy", "school", "collegeoruniversity", "library", "museum",
+    "gym", "healthclub", "realestateagent", "autodealer", "autorepair", "medicalclinic", "lodgingbusiness", "foodestablishment", "professionalservice", "financialservice", "bank",
+    "insuranceagency", "travelagency", "hairsalon", "beautysalon", "daycare", "veterinarycare", "hardwarestore", "clothingstore", "electronicsstore", "grocerystore",
+)
+MORE_ORG_TYPES = (
+    "newsmediaorganization", "educationalorganization", "governmentorganization", "sportsorganization", "medicalorganization", "ngo", "airline",
+)
 SECTION_INDEX = "(?i)^/(blog|news|articles?|insights|press)/?$"
 REFRESH = r"(?i)^\s*(\d+)\s*[;,]\s*url\s*=\s*['\"]?([^'\"]+)"
 STALE_MONTHS, SHARED_TITLE, HUB_LINKS = 18, 3, 5

@@ -284,103 +284,137 @@ def common_sentences(spark, sf_dir):
     return s.join(n, "source").where(F.col("n_docs") >= F.greatest(F.lit(2), F.floor(F.col("n") * 0.05))).select("source", "sentence", "n_docs")
 
 
-# --- fixed inputs: severity, robots, evaluation -----------------------------------------------------------------------
+# --- severity, robots, evaluation --------------------------------------------------------------------------------------
 def _values(rows, names: str) -> str:
     lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names}))"
 
 
-_CASES = [(b, c, m, s, n) for b in ("site_wide", "template", "single_page") for c in ("deterministic", "heuristic") for m in ("static_fact", "static_heuristic") for s in ("active", "latent", "confirm_intent") for n in (1, 5)]
+#: A check and a case for every page, so that all checks meet all cases.
+_NAMES = [c for c, *_ in severity.SEVERITY]
+
+
+def _pick(values, number: str) -> str:
+    """SQL of both engines: one of the values by a number."""
+    return f"CASE {number} % {len(values)} " + " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(values)) + " END"
+
+
+def _part(n: int) -> str:
+    return f"CAST(floor(page_id / {n}) AS BIGINT)"
+
+
+_CASE = ", ".join(f"{sql} AS {name}" for name, sql in {
+    "check_id": _pick(_NAMES, "page_id"), "blast_radius": _pick(("site_wide", "template", "single_page"), _part(2)), "confidence": _pick(("deterministic", "heuristic"), _part(3)), "measurement_basis": _pick(("static_fact", "static_heuristic"), _part(5)),
+    "status": _pick(("active", "latent", "confirm_intent"), _part(7)), "coverage_pages": _pick((1, 2, 3, 5), _part(11)), "effort": _pick(("low", "medium", "high"), _part(13)),
+}.items())
 _LEVEL = "list_position(['info', 'low', 'medium', 'high', 'critical'], {}) - 1"
-_MATRIX = f"""WITH base AS (SELECT *, {_LEVEL.format('base')} AS l FROM {_values(severity.SEVERITY, 'check_id, base, gate, mechanism')} CROSS JOIN {_values(_CASES, 'blast_radius, confidence, measurement_basis, status, coverage_pages')}),
+_MATRIX = f"""WITH base AS (SELECT p.*, gate, {_LEVEL.format('base')} AS l FROM (SELECT page_id, {_CASE} FROM pages) p JOIN {_values(severity.SEVERITY, 'check_id, base, gate, mechanism')} USING (check_id)),
 a AS (SELECT *, CASE WHEN coverage_pages >= 3 AND blast_radius = 'single_page' AND l > 0 THEN l - 1 ELSE l END AS l1 FROM base),
 b AS (SELECT *, least(l1, CASE WHEN check_id = 'R_agent_review' THEN 1 ELSE 4 END, CASE WHEN measurement_basis = 'static_heuristic' THEN 2 ELSE 4 END, CASE WHEN confidence = 'heuristic' THEN 3 ELSE 4 END, CASE WHEN status <> 'active' THEN 1 ELSE 4 END) AS l2 FROM a)"""
 _HURTS = f"CASE WHEN check_id IN ({', '.join(repr(c) for c in severity.BOTH)}) THEN 'both' WHEN gate = 'engagement' THEN 'user_retention' ELSE 'ai_discoverability' END"
 
 
-def _matrix(spark):
-    case = spark.createDataFrame(_CASES, "blast_radius string, confidence string, measurement_basis string, status string, coverage_pages int")
-    each = severity.dimension(spark).select("check_id", F.explode(F.array(F.lit(1))).alias("one"))
-    return severity.graded(each.join(F.broadcast(case.withColumn("one", F.lit(1))), "one").drop("one"))  # 44 x 72 rows
+def _cases(spark, sf_dir):
+    pages(spark, sf_dir).createOrReplaceTempView("crawlens_pages")
+    return spark.sql(f"SELECT page_id, {_CASE} FROM crawlens_pages")
 
 
-@query("severity_matrix", _MATRIX + f" SELECT check_id, blast_radius, confidence, measurement_basis, status, coverage_pages, ['info', 'low', 'medium', 'high', 'critical'][l2 + 1] AS severity, {_HURTS} AS hurts FROM b")
+@query("severity_matrix", _MATRIX + f" SELECT page_id, check_id, blast_radius, confidence, measurement_basis, status, coverage_pages, ['info', 'low', 'medium', 'high', 'critical'][l2 + 1] AS severity, {_HURTS} AS hurts FROM b")
 def severity_matrix(spark, sf_dir):
-    return _matrix(spark).select("check_id", "blast_radius", "confidence", "measurement_basis", "status", "coverage_pages", "severity", "hurts")
+    return severity.graded(_cases(spark, sf_dir)).select("page_id", "check_id", "blast_radius", "confidence", "measurement_basis", "status", "coverage_pages", "severity", "hurts")
 
 
-@query("priority_scores", _MATRIX + """ SELECT check_id, blast_radius, confidence, measurement_basis, status, coverage_pages, effort,
+@query("priority_scores", _MATRIX + """ SELECT page_id, check_id, status, effort,
 round((l2 + 1) * CASE WHEN confidence = 'deterministic' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * CASE status WHEN 'latent' THEN 0.35::DOUBLE WHEN 'confirm_intent' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END
- / CASE CASE WHEN check_id = 'R_agent_review' THEN 'medium' ELSE effort END WHEN 'low' THEN 1.0::DOUBLE WHEN 'high' THEN 2.4::DOUBLE ELSE 1.6::DOUBLE END, 3) AS priority_score FROM b CROSS JOIN (VALUES ('low'), ('medium'), ('high')) AS e(effort)""")
+ / CASE CASE WHEN check_id = 'R_agent_review' THEN 'medium' ELSE effort END WHEN 'low' THEN 1.0::DOUBLE WHEN 'high' THEN 2.4::DOUBLE ELSE 1.6::DOUBLE END, 3) AS priority_score FROM b""")
 def priority_scores(spark, sf_dir):
-    m = _matrix(spark).withColumn("effort", F.explode(F.array(*map(F.lit, ("low", "medium", "high")))))
-    return severity.priority(m).select("check_id", "blast_radius", "confidence", "measurement_basis", "status", "coverage_pages", "effort", "priority_score")
-
-
-_ROBOTS = [
-    ("a.test", "User-agent: *\nDisallow: /private/\nAllow: /private/public/\nDisallow: /*.pdf$\n\nUser-agent: GPTBot\nDisallow: /\n\nSitemap: https://a.test/map.xml"),
-    ("b.test", "User-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /shop # closed\nAllow: /shop/open\n\nUser-agent: Claude\nDisallow: /\n\nUser-agent: *\nDisallow:"),
-    ("c.test", "User-agent: *\nDisallow: /"),
-]
-_RULES = [("a.test", "*", 0, "/private/"), ("a.test", "*", 1, "/private/public/"), ("a.test", "*", 0, "/*.pdf$"), ("a.test", "gptbot", 0, "/"), ("b.test", "googlebot", 0, "/shop"), ("b.test", "googlebot", 1, "/shop/open"), ("b.test", "bingbot", 0, "/shop"), ("b.test", "bingbot", 1, "/shop/open"), ("b.test", "claude", 0, "/"), ("b.test", "*", None, None), ("c.test", "*", 0, "/")]
-_ASKED = ["/", "/private/x", "/private/public/y", "/doc.pdf", "/doc.pdf?x", "/shop", "/shop/open/1"]
-_DECIDED = f"""WITH r AS (SELECT *, length(regexp_replace(path, '[*$]', '', 'g')) AS len,
-  '^' || regexp_replace(regexp_replace(regexp_replace(path, '([.+?])', '\\\\\\1', 'g'), '\\*', '.*', 'g'), '\\$$', '$') AS pat FROM {_values(_RULES, 'site_id, token, allow, path')}),
-q AS (SELECT s.site_id, a.agent, p.path FROM {_values([(s,) for s, _ in _ROBOTS], 'site_id')} s CROSS JOIN {_values([(a,) for a, _, _ in robots.AGENTS], 'agent')} a CROSS JOIN {_values([(p,) for p in _ASKED], 'path')} p),
-t AS (SELECT q.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.site_id = q.site_id AND r.token = lower(q.agent)) THEN lower(q.agent) ELSE '*' END AS token FROM q),
-m AS (SELECT t.site_id, t.agent, t.path, r.allow, row_number() OVER (PARTITION BY t.site_id, t.agent, t.path ORDER BY r.len DESC NULLS LAST, r.allow DESC) AS k
-  FROM t LEFT JOIN r ON r.site_id = t.site_id AND r.token = t.token AND regexp_matches(t.path, r.pat))
+    return severity.priority(severity.graded(_cases(spark, sf_dir))).select("page_id", "check_id", "status", "effort", "priority_score")
+
+
+#: A robots file for every site, by the length of its name; the oracle gets the rules, the query the text.
+_ROBOTS = (
+    "User-agent: *\nDisallow: /en/\nAllow: /en/7\n\nUser-agent: GPTBot\nDisallow: /\n\nSitemap: https://a.test/map.xml",
+    "User-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /de # closed\nAllow: /de/1\n\nUser-agent: Claude\nDisallow: /\n\nUser-agent: *\nDisallow:",
+    "# nothing but old pages\r\nuser-agent: *\r\ndisallow: /*.html$\r\nCrawl-delay: 2",
+    "User-agent: *\nDisallow: /",
+)
+_RULES = [(0, "*", 0, "/en/"), (0, "*", 1, "/en/7"), (0, "gptbot", 0, "/"), (1, "googlebot", 0, "/de"), (1, "googlebot", 1, "/de/1"), (1, "bingbot", 0, "/de"), (1, "bingbot", 1, "/de/1"), (1, "claude", 0, "/"), (1, "*", None, None), (2, "*", 0, "/*.html$"), (3, "*", 0, "/")]
+_ASKED = f"SELECT DISTINCT {_BARE} AS site_id, {_PATH} AS path FROM pages"
+_DECIDED = f"""WITH s AS (SELECT site_id, path, length(site_id) % {len(_ROBOTS)} AS k FROM ({_ASKED})), r AS (SELECT *, length(regexp_replace(path, '[*$]', '', 'g')) AS len,
+  '^' || regexp_replace(regexp_replace(regexp_replace(path, '([.+?])', '\\\\\\1', 'g'), '\\*', '.*', 'g'), '\\$$', '$') AS pat FROM {_values(_RULES, 'k, token, allow, path')}),
+q AS (SELECT s.*, a.agent FROM s CROSS JOIN {_values([(a,) for a, _, _ in robots.AGENTS], 'agent')} a),
+t AS (SELECT q.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.k = q.k AND r.token = lower(q.agent)) THEN lower(q.agent) ELSE '*' END AS token FROM q),
+m AS (SELECT t.site_id, t.agent, t.path, r.allow, row_number() OVER (PARTITION BY t.site_id, t.agent, t.path ORDER BY r.len DESC NULLS LAST, r.allow DESC) AS n
+  FROM t LEFT JOIN r ON r.k = t.k AND r.token = t.token AND regexp_matches(t.path, r.pat))
 """
 
 
-def _decided(spark):
-    rules = robots.rules(spark.createDataFrame(_ROBOTS, "site_id string, text string"))
-    wanted = spark.createDataFrame([(s, a, p) for s, _ in _ROBOTS for a, _, _ in robots.AGENTS for p in _ASKED], "site_id string, agent string, path string")
-    return robots.decisions(rules, wanted)
+def _robots_files(spark, sf_dir) -> DataFrame:
+    """``(site_id, text)``."""
+    texts = F.array(*map(F.lit, _ROBOTS))
+    return pages(spark, sf_dir).select(U.bare_host(F.col("url")).alias("site_id")).distinct().select("site_id", F.get(texts, F.length("site_id") % len(_ROBOTS)).alias("text"))
+
 
+def _decided(spark, sf_dir):
+    asked = pages(spark, sf_dir).select(U.bare_host(F.col("url")).alias("site_id"), U.path(F.col("url")).alias("path")).distinct()
+    agents = F.explode(F.array(*(F.lit(a) for a, _, _ in robots.AGENTS))).alias("agent")
+    return robots.decisions(robots.rules(_robots_files(spark, sf_dir)), asked.select("site_id", agents, "path"))
 
-@query("robots_decisions", _DECIDED + "SELECT site_id, agent, path, coalesce(allow = 1, true) AS allowed FROM m WHERE k = 1")
+
+@query("robots_decisions", _DECIDED + "SELECT site_id, agent, path, coalesce(allow = 1, true) AS allowed FROM m WHERE n = 1")
 def robots_decisions(spark, sf_dir):
-    return _decided(spark).select("site_id", "agent", "path", "allowed")
+    return _decided(spark, sf_dir).select("site_id", "agent", "path", "allowed")
 
 
-@query("robots_agent_report", _DECIDED + f"SELECT site_id, agent, c.class, list_sort(list(path) FILTER (WHERE allow = 0)) AS blocked_paths, count(*) FILTER (WHERE allow = 0) = count(*) AS fully_blocked FROM m JOIN {_values([(a, k) for a, k, _ in robots.AGENTS], 'agent, class')} c USING (agent) WHERE k = 1 GROUP BY ALL HAVING count(*) FILTER (WHERE allow = 0) > 0")
+@query("robots_agent_report", _DECIDED + f"SELECT site_id, agent, c.class, list_sort(list(path) FILTER (WHERE allow = 0)) AS blocked_paths, count(*) FILTER (WHERE allow = 0) = count(*) AS fully_blocked FROM m JOIN {_values([(a, k) for a, k, _ in robots.AGENTS], 'agent, class')} c USING (agent) WHERE n = 1 GROUP BY ALL HAVING count(*) FILTER (WHERE allow = 0) > 0")
 def robots_agent_report(spark, sf_dir):
-    return robots.agent_report(_decided(spark), spark).where("size(blocked_paths) > 0").select("site_id", "agent", "class", "blocked_paths", "fully_blocked")
+    return robots.agent_report(_decided(spark, sf_dir), spark).where("size(blocked_paths) > 0").select("site_id", "agent", "class", "blocked_paths", "fully_blocked")
 
 
-@query("robots_unrecognised", f"""SELECT site_id, token, list_sort(list(agent)) AS probably_meant FROM (SELECT DISTINCT site_id, token FROM {_values([(s, t) for s, t in (("a.test", "GPTBot"), ("b.test", "Googlebot"), ("b.test", "Bingbot"), ("b.test", "Claude"))], 'site_id, token')})
+@query("robots_unrecognised", f"""SELECT site_id, token, list_sort(list(agent)) AS probably_meant FROM (SELECT DISTINCT site_id, t.token FROM (SELECT DISTINCT {_BARE} AS site_id FROM pages) JOIN {_values([(0, "GPTBot"), (1, "Googlebot"), (1, "Bingbot"), (1, "Claude")], 'k, token')} t ON t.k = length(site_id) % {len(_ROBOTS)})
 JOIN {_values([(a,) for a, _, _ in robots.AGENTS], 'agent')} ON starts_with(lower(agent), lower(token)) WHERE length(token) >= 4 GROUP BY 1, 2 HAVING NOT bool_or(lower(agent) = lower(token))""")
 def robots_unrecognised(spark, sf_dir):
-    return robots.unrecognised(robots.rules(spark.createDataFrame(_ROBOTS, "site_id string, text string")), spark)
+    return robots.unrecognised(robots.rules(_robots_files(spark, sf_dir)), spark)
+
 
+#: Findings of two runs by page: a site's check may come several times, change its band or status, or go.
+_RUN = "SELECT {site} AS slug, {check} AS check_id, {band} AS severity, {status} AS status FROM pages WHERE page_id % {drop} <> 0"
+_FIRED = _pick(_NAMES[:30], "page_id")
+_BANDS = ("critical", "high", "medium", "low")
+_BEFORE = {"check": _FIRED, "band": _pick(_BANDS, _part(2)), "status": _pick(("active", "active", "latent"), _part(5)), "drop": 9}
+_AFTER = {"check": _FIRED, "band": _pick(_BANDS, f"CASE WHEN page_id % 4 = 0 THEN {_part(2)} + 1 ELSE {_part(2)} END"), "status": _pick(("active", "active", "latent"), _part(5)), "drop": 7}
+_SEVERE = "SELECT slug, check_id FROM ({}) WHERE status = 'active' AND severity IN ('critical', 'high')"
+_SITE = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"  # as _BARE, in Spark's SQL
 
-_BEFORE = [("s1", "A3_noindex", "critical", "active"), ("s1", "B1_fact_absent", "high", "active"), ("s1", "B1_fact_absent", "high", "active"), ("s2", "C7_title_problem", "medium", "active"), ("s3", "D4_internal_contradiction", "high", "latent")]
-_AFTER = [("s1", "B1_fact_absent", "high", "active"), ("s2", "C7_title_problem", "medium", "active"), ("s2", "A2_snippet_suppressed", "high", "active"), ("s3", "D4_internal_contradiction", "high", "active")]
-_F = "slug, check_id, severity, status"
-_SEVERE = "SELECT slug, check_id FROM {} WHERE status = 'active' AND severity IN ('critical', 'high')"
 
+def _run_sql(run: dict, site: str = _BARE) -> str:
+    return _RUN.format(site=site, **run)
 
-def _findings(spark, rows):
-    return spark.createDataFrame(rows, "slug string, check_id string, severity string, status string")
 
+def _findings(spark, sf_dir, run):
+    pages(spark, sf_dir).createOrReplaceTempView("crawlens_pages")
+    return spark.sql(_run_sql(run, _SITE).replace("FROM pages", "FROM crawlens_pages"))
 
-@query("severe_changes", f"SELECT *, 'removed' AS change FROM ({_SEVERE.format(_values(_BEFORE, _F))} EXCEPT ALL {_SEVERE.format(_values(_AFTER, _F))}) UNION ALL SELECT *, 'added' FROM ({_SEVERE.format(_values(_AFTER, _F))} EXCEPT ALL {_SEVERE.format(_values(_BEFORE, _F))})")
+
+@query("severe_changes", f"SELECT *, 'removed' AS change FROM ({_SEVERE.format(_run_sql(_BEFORE))} EXCEPT ALL {_SEVERE.format(_run_sql(_AFTER))}) UNION ALL SELECT *, 'added' FROM ({_SEVERE.format(_run_sql(_AFTER))} EXCEPT ALL {_SEVERE.format(_run_sql(_BEFORE))})")
 def severe_changes(spark, sf_dir):
-    return evaluation.changed(evaluation.severe(_findings(spark, _BEFORE)), evaluation.severe(_findings(spark, _AFTER)))
+    """Severe findings of one run that another lacks, and the other way round, as multisets."""
+    return evaluation.changed(evaluation.severe(_findings(spark, sf_dir, _BEFORE)), evaluation.severe(_findings(spark, sf_dir, _AFTER)))
 
 
-_VERDICTS = [("s1", "A3_noindex", "correct"), ("s1", "B1_fact_absent", "false_positive")]
+_JUDGED = "SELECT DISTINCT {site} AS slug, {check} AS check_id, CASE length(url) % 2 WHEN 0 THEN 'correct' ELSE 'false_positive' END AS verdict FROM pages WHERE page_id % 3 = 0"
 
 
-@query("verdict_tally", f"SELECT coalesce(verdict, 'unchecked') AS verdict, count(*) AS n FROM ({_SEVERE.format(_values(_BEFORE, _F))}) LEFT JOIN {_values(_VERDICTS, 'slug, check_id, verdict')} USING (slug, check_id) GROUP BY 1")
+@query("verdict_tally", f"SELECT coalesce(verdict, 'unchecked') AS verdict, count(*) AS n FROM ({_SEVERE.format(_run_sql(_BEFORE))}) LEFT JOIN (SELECT slug, check_id, min(verdict) AS verdict FROM ({_JUDGED.format(site=_BARE, check=_FIRED)}) GROUP BY 1, 2) USING (slug, check_id) GROUP BY 1")
 def verdict_tally(spark, sf_dir):
-    return evaluation.tally(evaluation.severe(_findings(spark, _BEFORE)), spark.createDataFrame(_VERDICTS, "slug string, check_id string, verdict string"))
+    """Severe findings by the verdict that people gave the site's check."""
+    found = evaluation.severe(_findings(spark, sf_dir, _BEFORE))
+    return evaluation.tally(found, spark.sql(_JUDGED.format(site=_SITE, check=_FIRED).replace("FROM pages", "FROM crawlens_pages")))
 
 
-@query("never_fired", f"SELECT check_id FROM {_values([(c,) for c, *_ in severity.SEVERITY], 'check_id')} EXCEPT SELECT check_id FROM {_values(_BEFORE, _F)}")
+@query("never_fired", f"SELECT check_id FROM {_values([(c,) for c in _NAMES], 'check_id')} EXCEPT SELECT check_id FROM ({_run_sql(_BEFORE)})")
 def never_fired(spark, sf_dir):
-    return evaluation.never_fired(_findings(spark, _BEFORE))
+    return evaluation.never_fired(_findings(spark, sf_dir, _BEFORE))
 
 
 @query("event_status_runs", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS isle FROM events)
@@ -397,15 +431,28 @@ def wall_time_facts(spark, sf_dir):
     return evaluation.run_facts(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("run_status"), F.col("o_totalprice").alias("wall_s")))
 
 
-_AMOUNTS = ["1.299,00", "1,299.00", "49,00", "1.299", "1,299", "1,29,999", "12.5", "7", "1.234.567", "12,3,4", "abc", ""]
+#: Prices of orders, written the ways of several countries.
+_PRICE = "CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)"
+_THOUSANDS = "regexp_replace(" + _PRICE + ", '^([0-9]{{1,3}})([0-9]{{3}})$', '{one}1{sep}{one}2')"
+_AMOUNT = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate((
+    _PRICE, f"{_PRICE} || '.5'", f"{_PRICE} || ',50'", "{dots}", "{commas}", "{dots} || ',25'", "{commas} || '.75'", "'1,' || {commas}",
+))) + " END"
+
+
+def _amounts(one: str) -> str:
+    return _AMOUNT.format(dots=_THOUSANDS.format(one=one, sep="."), commas=_THOUSANDS.format(one=one, sep=","))
+
+
 _PLAIN = """CASE WHEN contains(a, ',') AND contains(a, '.') THEN CASE WHEN length(a) - instr(reverse(a), ',') > length(a) - instr(reverse(a), '.') THEN replace(replace(a, '.', ''), ',', '.') ELSE replace(a, ',', '') END
 WHEN length(a) - length(replace(a, ',', '')) > 1 OR regexp_full_match(a, '\\d{1,3}(,\\d{3})+') THEN replace(a, ',', '') WHEN contains(a, ',') THEN replace(a, ',', '.')
 WHEN length(a) - length(replace(a, '.', '')) > 1 OR regexp_full_match(a, '\\d{1,3}(\\.\\d{3})+') THEN replace(a, '.', '') ELSE a END"""
 
 
-@query("amounts", f"SELECT a, round(try_cast({_PLAIN} AS DOUBLE), 2) AS amount FROM {_values([(a,) for a in _AMOUNTS], 'a')}")
+@query("amounts", f"SELECT o_orderkey, a, round(try_cast({_PLAIN} AS DOUBLE), 2) AS amount FROM (SELECT o_orderkey, {_amounts(chr(92))} AS a FROM orders)")
 def amounts(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a in _AMOUNTS], "a string").select("a", X.amount(F.col("a")).alias("amount"))
+    """The numbers that written prices stand for."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", F.expr(_amounts("$")).alias("a")).select("o_orderkey", "a", X.amount(F.col("a")).alias("amount"))
 
 
 from crawlens import registry_audit, registry_review  # noqa: E402,F401  they add their queries to the two tables above
