@@ -70,6 +70,15 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def utf8(text: bytes) -> bytes:
+    """The text itself, or with replacement characters for what is not UTF-8 in it."""
+    try:
+        text.decode()
+        return text
+    except UnicodeDecodeError:
+        return text.decode(errors="replace").encode()
+
+
 def schema_of(ddl_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

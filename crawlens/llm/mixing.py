@@ -166,9 +166,10 @@ def _repaired(out: DataFrame, cap: int) -> DataFrame:
 
 def copied(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, each as often as the mix takes it; rows without an id once."""
-    rates = mixed(docs, id_col=id_col, **options).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").cast("int").alias("_mix_copies"))
-    joined = docs.join(rates, docs[id_col] == rates["_mix_id"], "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(1)))
-    return joined.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    rates = mixed(docs, id_col=id_col, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    whole = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no name of the documents can meet one of ours
+    joined = whole.join(rates, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return joined.where("copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "row").select("row.*")
 
 
 def query(spark, sf_dir):

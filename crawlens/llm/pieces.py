@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crawlens.llm.common import table
+from crawlens.llm.common import table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL = 64 << 20
@@ -473,7 +473,7 @@ def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value, dropout, seed)
         for b in batches:
-            keys, texts = b.column("_key").to_numpy(), b.column("_text").cast(pa.binary()).to_pylist()
+            keys, texts = b.column("_key").to_numpy(), [x if x is None else utf8(x) for x in b.column("_text").cast(pa.binary()).to_pylist()]
             start = size = 0
             for i, text in enumerate(texts):
                 size += len(text or b"")

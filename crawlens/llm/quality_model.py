@@ -47,7 +47,7 @@ def statistics(text: bytes | None) -> list[float]:
     ids = numbered(words)
     n, chars = max(1, len(words)), max(1, len(text))
     of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    wide = text.translate(None, ASCII).decode()
+    wide = text.translate(None, ASCII).decode(errors="replace")
     letters = int(of[65:91].sum() + of[97:123].sum()) + len(wide)
     points = len(text) - int(of[0x80:0xC0].sum()) - int(of[list(BLANKS)].sum())
     lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]

@@ -93,7 +93,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     ids = numbered(text.split())
     lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
     of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    wide = text.translate(None, ASCII).decode()
+    wide = text.translate(None, ASCII).decode(errors="replace")
     upper = int(of[65:91].sum()) + sum(map(str.isupper, wide))
     return (
         len(ids),

@@ -51,8 +51,8 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.2),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.2),
 )
-#: Columns added on the way; no column of an input is expected to bear these names.
-BASE, TESTED, SPANS = "_secret_base", "_secret_tested", "_secret_spans"
+#: Columns added on the way; a column of an input with such a name gives way to ours in ``scanned`` and is kept in ``redacted``.
+TEXT, BASE, TESTED, SPANS = "_secret_text", "_secret_base", "_secret_tested", "_secret_spans"
 LIMIT = 3.59  # standard deviations: one in a thousand for three tests
 KAPPA, CLUMPS = 0.06, 0.002  # of an ordinary text: equal pairs of characters, and how far letters' shares clump them
 RHO = -0.2  # of an ordinary text's vowels
@@ -92,9 +92,10 @@ def _within(span: Column, pattern: str) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Runs cut into what an alphabet fits."""
+    """Runs cut into what an alphabet fits; and where one fits a whole path, its parts as well."""
     pieces = F.flatten(F.transform(_spans(text, TOKEN, 3), lambda c: _within(c, PIECE)))
-    return F.flatten(F.transform(pieces, lambda c: F.when(c["body"].rlike(FITS), F.array(c)).otherwise(F.array_distinct(F.concat(*(_within(c, p) for p in PARTS))))))
+    inner = lambda c: F.when(c["body"].contains("/"), F.array_remove(_within(c, PARTS[2]), c)).otherwise(F.array_remove(F.array(c), c))
+    return F.flatten(F.transform(pieces, lambda c: F.when(c["body"].rlike(FITS), F.concat(F.array(c), inner(c))).otherwise(F.array_distinct(F.concat(*(_within(c, p) for p in PARTS))))))
 
 
 _MARK = "CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'a' AND 'z' THEN 1 WHEN c BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END"
@@ -151,7 +152,7 @@ _LAST = (
 
 def _tested(frame: DataFrame) -> DataFrame:
     """Adds ``tested``: the candidates with the bin of their p-value (-1: not uniform). Reads ``_text`` and ``base``."""
-    text = F.col("_secret_text")
+    text = F.col(TEXT)
     has = F.when(text.rlike(TOKEN), F.filter(_candidates(text), lambda c: c["body"].rlike("[0-9]") & c["body"].rlike("[A-Za-z]")))
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, end: INT, body: STRING>>)")
     frame = frame.withColumn(TESTED, F.filter(F.coalesce(has, none), lambda c: ~F.exists(BASE, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
@@ -162,9 +163,10 @@ def _tested(frame: DataFrame) -> DataFrame:
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input's columns with ``base`` (spans of the base kinds) and ``tested`` (the candidates with their bins)."""
-    frame = docs.withColumn("_secret_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn(BASE, base_spans(F.col("_secret_text")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    frame = docs.select(*(f"`{c}`" for c in docs.columns if c not in (TEXT, BASE, TESTED)), text.alias(TEXT)).withColumn(BASE, base_spans(F.col(TEXT)))
     slim = f"transform({BASE}, s -> struct(s.start, s.kind, s.end))"
-    return _tested(frame).withColumn(BASE, F.expr(slim)).drop("_secret_text")
+    return _tested(frame).withColumn(BASE, F.expr(slim)).drop(TEXT)
 
 
 def threshold(rows: DataFrame, rate: float = RATE) -> int:
@@ -177,8 +179,10 @@ def threshold(rows: DataFrame, rate: float = RATE) -> int:
 
 
 def all_spans(least: int) -> Column:
-    """Base and accepted random spans as structs (start, kind, end), in order."""
-    extra = F.transform(F.filter(TESTED, lambda t: t["bin"] >= least), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    """Base and accepted random spans as structs (start, kind, end), in order. A part goes with the accepted run that it is part of."""
+    taken = F.filter(TESTED, lambda t: t["bin"] >= least)
+    inner = lambda t, o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+    extra = F.transform(F.filter(taken, lambda t: ~F.exists(taken, lambda o: inner(t, o))), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return F.array_sort(F.concat(BASE, extra))
 
 
@@ -190,9 +194,9 @@ def written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
     """The documents with every span (overlapping ones together) replaced by the mark; other columns as they are."""
-    rows = scanned(docs, text_col)
+    rows = scanned(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")))
     least = threshold(rows)
-    text = F.col(text_col)
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -202,7 +206,8 @@ def redacted(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") ->
 
     done = F.aggregate(SPANS, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     rows = rows.withColumn(SPANS, all_spans(least))
-    return rows.withColumn(text_col, F.when(F.size(SPANS) > 0, done).otherwise(text)).select(*docs.columns)
+    new = F.when(F.size(SPANS) > 0, done).otherwise(text)
+    return rows.select(*((new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def _of_kind(k: int):

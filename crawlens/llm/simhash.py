@@ -175,15 +175,5 @@ def near_duplicates(docs: DataFrame, d: int = 2, id_col: str = "doc_id", text_co
     return own.join(stored(known, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, d: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, and only one row of each id; rows without an id stay."""
-    found = stored(near_duplicates(docs, d, id_col, text_col), "members")
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(others, docs[id_col] == others["_gone"], "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
-    return left
-
-
 def query(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

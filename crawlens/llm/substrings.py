@@ -11,7 +11,8 @@ Hashes are 64 bits of xxhash-mixed words, combined as polynomials.
 
 Defined cases: null, empty and short texts have no window and stay; equal windows within one document stay; of equal
 documents the one with the smallest id stays; rows with equal ids do not count against each other; a null id counts as
-the largest; long texts are treated whole; empty tables give empty results; other columns are not looked at.
+the largest; long texts are treated whole; bytes that are not UTF-8 belong to words, and are replaced in what is kept; empty tables give empty results;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from crawlens.llm.blocks import Block, blocks, earliest, exchange, gathered, mapped, mixed, packed, split, unpacked
-from crawlens.llm.common import table
+from crawlens.llm.common import table, utf8
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
@@ -124,7 +125,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             text.append(b" ".join(own) if not n_removed[-1] else b" ".join([x for x, c in zip(own, cut.tolist()) if not c]))
             a = b
         ids = [None if null else i for i, null in zip(block.ids.tolist(), block.nulls)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in w.words], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in w.words], pa.int64()), pa.array(n_removed, pa.int64()), pa.array([utf8(x) for x in text], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     exchange(made, "anchors", ask_anchors, _twice)
     exchange(made, "windows", ask_windows, earliest)
