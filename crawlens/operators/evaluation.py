@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crawlens.operators import severity
 
-SLOW_S, REPEATS = 300, 3
+SLOW_S, REPEATS, TITLES = 300, 3, 10
+RAN = ("complete", "partial")
 
 
 def run_facts(runs: DataFrame) -> DataFrame:
@@ -15,16 +16,19 @@ def run_facts(runs: DataFrame) -> DataFrame:
 
 
 def problems(runs: DataFrame, findings: DataFrame, reports: DataFrame) -> DataFrame:
-    """``(slug, problem)``: runs that are missing, slow or crashed, and reports that do not add up.
+    """``(slug, problem)``: runs that are missing, slow or crashed, and reports that do not add up. A run that is missing or crashed is looked at no further.
 
     ``reports(slug, total_findings, critical, high, medium, low, info)``, ``findings(slug, id, position, check_id, affected_urls)``.
     """
     said = lambda df, what: df.select("slug", F.lit(what).alias("problem"))
     known = severity.dimension(findings.sparkSession).select("check_id")
+    crashed = F.coalesce((F.col("rc") != "0") | ~F.col("report_written"), F.lit(True))
+    over = runs.where(F.col("wall_s").isNull() | crashed).select("slug")
+    reports, findings = reports.join(over, "slug", "left_anti"), findings.join(over, "slug", "left_anti")
     parts = [
         said(runs.where("wall_s IS NULL"), "not_run"),
         said(runs.where(F.col("wall_s") >= SLOW_S), "over_5_minutes"),
-        said(runs.where("wall_s IS NOT NULL AND (rc <> '0' OR NOT report_written)"), "crash_or_no_report"),
+        said(runs.where(F.col("wall_s").isNotNull() & crashed), "crash_or_no_report"),
         said(reports.where("critical + high + medium + low + info <> total_findings"), "counts_do_not_add_up"),
         said(findings.where("id <> format_string('F-%03d', position)").select("slug").distinct(), "ids_out_of_order"),
         said(findings.where("size(array_distinct(affected_urls)) <> size(affected_urls)").select("slug").distinct(), "duplicate_affected_urls"),
@@ -38,8 +42,9 @@ def problems(runs: DataFrame, findings: DataFrame, reports: DataFrame) -> DataFr
 
 
 def fire_rate(findings: DataFrame, n_readable: int) -> DataFrame:
-    """Per check: findings, sites, and the rate both by findings and by distinct sites."""
-    g = findings.groupBy("check_id").agg(F.count("*").alias("findings"), F.count_distinct("slug").alias("sites"))
+    """Per check: findings, sites, severities, and the rate both by findings and by distinct sites. ``n_readable`` counts the sites whose run is one of RAN."""
+    said = F.col("severity") if "severity" in findings.columns else F.lit(None).cast("string")
+    g = findings.groupBy("check_id").agg(F.count("*").alias("findings"), F.count_distinct("slug").alias("sites"), F.array_sort(F.collect_set(said)).alias("severities"))
     return g.withColumn("rate_by_findings", F.col("findings") / max(1, n_readable)).withColumn("rate_by_sites", F.col("sites") / max(1, n_readable))
 
 
@@ -110,10 +115,11 @@ def stability(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def digest(findings: DataFrame) -> DataFrame:
-    """Screening line per site: counts by band, and the titles of the worst."""
+    """Screening line per site: counts by band, and the titles of the TITLES worst."""
     n = lambda b: F.count_if(F.col("severity") == b).alias(b)
-    worst = F.array_sort(F.collect_list(F.when(F.col("severity").isin("critical", "high"), F.col("title"))))
-    return findings.groupBy("site_id").agg(n("critical"), n("high"), n("medium"), n("low"), worst.alias("worst"))
+    turn = F.row_number().over(W.partitionBy("site_id").orderBy(severity.level(F.col("severity")).desc(), "title"))
+    worst = F.array_sort(F.collect_list(F.when(F.col("severity").isin("critical", "high") & (F.col("turn") <= TITLES), F.col("title"))))
+    return findings.withColumn("turn", turn).groupBy("site_id").agg(n("critical"), n("high"), n("medium"), n("low"), worst.alias("worst"))
 
 
 def consecutive(pages: DataFrame, status: int = 503) -> DataFrame:

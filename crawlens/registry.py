@@ -225,9 +225,10 @@ def proactive_rules(spark, sf_dir):
 
 @query("check_fire_rates")
 def check_fire_rates(spark, sf_dir):
+    """How often each check fires on the stored pages, among the sites that could be read."""
     p = parsed(spark, sf_dir)
     f = audit.graded_findings(p).withColumnRenamed("site_id", "slug")
-    return evaluation.fire_rate(f, p.select("site_id").distinct().count())
+    return evaluation.fire_rate(f, reports.stored_sites(p).where(F.col("run_status").isin(*evaluation.RAN)).count())
 
 
 @query("bot_challenges", rf"SELECT page_id FROM {_VARIED} WHERE length(html) <= 60000 AND regexp_matches(substr(html, 1, 4000), '(?i)<title[^>]*>\s*(access denied|just a moment\.{{0,3}}|one more step)\s*</title>')")

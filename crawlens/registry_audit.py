@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crawlens.functions import elements as nodes
-from crawlens.operators import checks, elements, plugins, skips
+from crawlens.operators import checks, elements, evaluation, plugins, skips
 from crawlens.plans import audit, profiles, reports
 from crawlens.registry import _BARE, _TITLE, _VARIED, _WALLED, query, varied
 from crawlens.sources.storage import stored
@@ -94,6 +94,16 @@ def threshold_hits(spark, sf_dir):
     return checks.all_hits(stored(audit.prepared(planted(spark, sf_dir)), "planted")).where(F.col("check_id").isin(*_CHECKED)).select("site_id", "url", "check_id", "note")
 
 
+@query("planted_fire_rates", f"""WITH t AS ({_THRESHOLDS}), n AS (SELECT count(DISTINCT {_BARE}) AS n FROM pages WHERE {_STATUS} = 200)
+SELECT check_id, count(DISTINCT site_id) AS findings, count(DISTINCT site_id) AS sites, count(DISTINCT site_id) / any_value(n.n) AS rate_by_sites FROM t, n GROUP BY 1""")
+def planted_fire_rates(spark, sf_dir):
+    """How often each of these checks fires, among the sites that could be read."""
+    p = stored(audit.prepared(planted(spark, sf_dir)), "planted")
+    found = checks.findings(checks.all_hits(p).where(F.col("check_id").isin(*_CHECKED)), checks.readable(p).groupBy("site_id").agg(F.count("*").alias("total")))
+    n = reports.stored_sites(p).where(F.col("run_status").isin(*evaluation.RAN)).count()
+    return evaluation.fire_rate(found.withColumnRenamed("site_id", "slug"), n).select("check_id", "findings", "sites", "rate_by_sites")
+
+
 # --- plug-ins and skipped rows ------------------------------------------------------------------------------------------
 class NeedsTitle(plugins.SiteCheck):
     """Pages by the first letter of their title; a page without a title is beyond it."""

@@ -317,3 +317,16 @@ def test_outcomes_of_a_second_run(spark):
     assert sorted((r["slug"], r["check_id"]) for r in listed) == [("s", "a"), ("s", "b"), ("s", "f")]
     runs = spark.createDataFrame([("s", 3.0, 0.5), ("t", None, None)], "slug string, wall_s double, cost double")
     assert evaluation.sums(runs).head().asDict() == {"runs": 2, "wall_s": 3.0, "median_s": 3.0, "cost": 0.5}
+
+
+def test_integrity_of_runs(spark):
+    from crawlens.operators import evaluation
+
+    runs = spark.createDataFrame([("fine", 10.0, "0", True), ("slow", 301.0, "0", True), ("none", None, None, None), ("crash", 9.0, "1", True), ("lost", 9.0, "0", False)], "slug string, wall_s double, rc string, report_written boolean")
+    reports = spark.createDataFrame([(s, 2, 0, 0, 1, 0, 0) for s in ("fine", "crash", "lost")] + [("slow", 1, 0, 0, 1, 0, 0)], "slug string, total_findings int, critical int, high int, medium int, low int, info int")
+    found = spark.createDataFrame([("crash", "F-009", 1, "no_such_check", ["u", "u"]), ("slow", "F-002", 1, "no_such_check", ["u", "u"])], "slug string, id string, position int, check_id string, affected_urls array<string>")
+    got = {(r["slug"], r["problem"]) for r in evaluation.problems(runs, found, reports).collect()}
+    assert got == {("slow", "over_5_minutes"), ("none", "not_run"), ("crash", "crash_or_no_report"), ("lost", "crash_or_no_report"), ("fine", "counts_do_not_add_up"), ("slow", "ids_out_of_order"), ("slow", "unknown_check_id"), ("slow", "duplicate_affected_urls")}
+    f = spark.createDataFrame([("s", "high", f"t{i:02}") for i in range(30)] + [("s", "low", "z")], "site_id string, severity string, title string")
+    d = evaluation.digest(f).head()
+    assert d["high"] == 30 and d["worst"] == [f"t{i:02}" for i in range(10)]
