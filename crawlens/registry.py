@@ -332,6 +332,32 @@ def priority_scores(spark, sf_dir):
     return severity.priority(severity.graded(_cases(spark, sf_dir))).select("page_id", "check_id", "status", "effort", "priority_score")
 
 
+#: Words of a page's content: its frame, scripts and comments do not count.
+_CONTENT = "len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html || '</footer>', '<!--.*?-->|<!DOCTYPE[^>]*>', ' ', 'gs'), '<(script|style|nav|footer|aside|form)[ >].*?</(script|style|nav|footer|aside|form)>', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '[^\\s]+'))"
+_RANKED_CHECKS = ("E11_no_viewport", "E10_no_next_step", "C3_entity_unanchored", "C7_title_problem")
+#: The checks that fire on the stored pages, graded and ranked.
+ORACLES["ranked_findings"] = f"""WITH v AS (SELECT page_id, {_BARE} AS site_id, url, html, {_TITLE} AS title, {_CONTENT} AS words, count(*) OVER (PARTITION BY {_BARE}) AS total, count(*) OVER (PARTITION BY {_BARE}, {_TITLE}) AS alike FROM pages),
+hits AS (
+  SELECT site_id, 'E11_no_viewport' AS check_id, url, '' AS note FROM v WHERE NOT regexp_matches(html, '(?i)<meta name="viewport"')
+  UNION ALL SELECT site_id, 'E10_no_next_step', url, CAST(words AS VARCHAR) FROM v WHERE words >= 200 AND NOT regexp_matches(regexp_replace(html, '<nav>.*?</nav>', '', 'gs'), '<a href=|<form')
+  UNION ALL SELECT site_id, 'C3_entity_unanchored', min_by(url, page_id), '' FROM v GROUP BY site_id HAVING NOT bool_or(contains(html, 'sameAs'))
+  UNION ALL SELECT site_id, 'C7_title_problem', url, concat('title ', chr(39), title, chr(39), ' shared by ', alike, ' pages') FROM v WHERE title <> '' AND alike >= {checks.SHARED_TITLE}
+), spec AS (SELECT * FROM {_values([(c, *checks.SPEC[c]) for c in _RANKED_CHECKS], 'check_id, title, reach, confidence, basis, effort')}),
+g AS (SELECT site_id, check_id, list_sort(list_distinct(list(url))) AS affected_urls, array_to_string(list_sort(list_distinct(list(note) FILTER (note <> '')))[1:3], '; ') AS sample FROM hits GROUP BY 1, 2),
+f AS (SELECT g.*, replace(s.title, '%d', CAST(len(affected_urls) AS VARCHAR)) AS title, s.confidence, s.basis, s.effort, d.base, d.gate, d.mechanism, t.total,
+    CASE s.reach WHEN 'all' THEN CASE WHEN len(affected_urls) >= t.total THEN 'site_wide' ELSE 'template' END ELSE s.reach END AS blast_radius, least({_LEVEL.format('d.base')}, CASE WHEN s.basis = 'static_heuristic' THEN 2 ELSE 4 END) AS l
+  FROM g JOIN spec s USING (check_id) JOIN {_values(severity.SEVERITY, 'check_id, base, gate, mechanism')} d USING (check_id) JOIN (SELECT DISTINCT site_id, total FROM v) t USING (site_id)),
+p AS (SELECT *, ['info', 'low', 'medium', 'high', 'critical'][l + 1] AS severity, round((l + 1) * CASE confidence WHEN 'deterministic' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END / CASE effort WHEN 'low' THEN 1.0::DOUBLE WHEN 'high' THEN 2.4::DOUBLE ELSE 1.6::DOUBLE END, 3) AS priority_score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY l DESC, priority_score DESC, check_id, title, affected_urls[1]) AS rank FROM p)
+SELECT site_id, CAST(rank AS INT) AS rank, 'F-' || lpad(CAST(rank AS VARCHAR), 3, '0') AS id, check_id, title, severity, priority_score, gate, mechanism, {_HURTS} AS hurts, 'active' AS status, blast_radius, affected_urls, title || CASE WHEN coalesce(sample, '') = '' THEN '' ELSE ': ' || sample END AS evidence,
+  'base=' || base || ' (' || gate || '/' || check_id || '); ' || CASE WHEN total >= 3 THEN 'blast=' || blast_radius || ' x' || CASE blast_radius WHEN 'site_wide' THEN '1.0' ELSE '0.8' END ELSE 'coverage=' || total || '<3: no blast escalation' END || ' => ' || severity AS severity_rationale FROM r"""
+#: Addresses of links stand in double quotes, texts without further elements.
+ORACLES["homepage_links"] = f"""WITH f AS (SELECT {_BARE} AS site_id, min_by(url, page_id) AS url, min_by(html, page_id) AS html FROM pages GROUP BY 1),
+a AS (SELECT site_id, url, unnest(list_zip(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1), regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'))))) AS x FROM f),
+t AS (SELECT site_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || {_HOST} || CASE WHEN length(x[1]) > 1 AND ends_with(x[1], '/') THEN left(x[1], -1) ELSE x[1] END AS target, nullif(trim(replace(replace(replace(x[2], '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS label, x[3] AS place FROM a WHERE starts_with(x[1], '/') AND NOT regexp_matches(x[1], '{U.ASSET}'))
+SELECT site_id, target, left(min_by(label, place) FILTER (label IS NOT NULL), 80) AS label FROM t GROUP BY 1, 2"""
+
+
 #: A robots file for every site, by the length of its name; the oracle gets the rules, the query the text.
 _ROBOTS = (
     "User-agent: *\nDisallow: /en/\nAllow: /en/7\n\nUser-agent: GPTBot\nDisallow: /\n\nSitemap: https://a.test/map.xml",
