@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlens.functions import text as X, urls as U
 from crawlens.sources.storage import stored
@@ -245,9 +245,10 @@ def noindex_status(hits: DataFrame, totals: DataFrame) -> DataFrame:
 
 def shared_titles(pages: DataFrame) -> DataFrame:
     """C7: one title on three pages of a site or more."""
-    t = readable(pages).where((f("title") != "") & ~F.lower(f("title")).isin(*GENERIC_TITLES))
-    n = F.count("*").over(W.partitionBy("site_id", "f.title"))
-    return t.withColumn("n", n).where(F.col("n") >= SHARED_TITLE).select("site_id", "url", F.lit("C7_title_problem").alias("check_id"), F.lit("").alias("key"), F.concat(F.lit("title '"), f("title"), F.lit("' shared by "), F.col("n").cast("string"), F.lit(" pages")).alias("note"), F.lit("active").alias("status"))
+    t = readable(pages).where((f("title") != "") & ~F.lower(f("title")).isin(*GENERIC_TITLES)).select("site_id", "url", f("title").alias("title"))
+    many = t.groupBy("site_id", "title").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_TITLE)  # and joined back, so that no site is one task
+    note = F.concat(F.lit("title '"), F.col("title"), F.lit("' shared by "), F.col("n").cast("string"), F.lit(" pages"))
+    return t.join(many, ["site_id", "title"]).select("site_id", "url", F.lit("C7_title_problem").alias("check_id"), F.lit("").alias("key"), note.alias("note"), F.lit("active").alias("status"))
 
 
 def filler(pages: DataFrame) -> DataFrame:
@@ -292,15 +293,18 @@ def orientation(pages: DataFrame) -> DataFrame:
     first = p.where("home AND h1 <> ''").groupBy("site_id").agg(F.min_by("h1", "page_seq").alias("home_h1"))
     deep = p.where("NOT home AND words >= 100").join(first, "site_id", "left")
     same = F.coalesce(F.col("h1") == F.col("home_h1"), F.lit(False))
-    deep = deep.withColumn("same", same).withColumn("n", F.sum(same.cast("int")).over(W.partitionBy("site_id")))
-    lost = deep.where("(title = '' AND h1 = '') OR (same AND n >= 3)")
+    deep = deep.withColumn("same", same)
+    alike = deep.where("same").groupBy("site_id").agg(F.count("*").alias("n"))
+    lost = deep.join(alike, "site_id", "left").where("(title = '' AND h1 = '') OR (same AND n >= 3)")
     return lost.select("site_id", "url", F.lit("E12_no_orientation").alias("check_id"), F.lit("").alias("key"), F.when(F.col("same"), F.col("h1")).otherwise("no title and no h1").alias("note"), F.lit("active").alias("status"))
 
 
 def broken(pages: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
     """A9: pages that answer 404, 410 or a server error; a key page among them raises the whole finding."""
     p = pages.where("status IN (404, 410) OR status BETWEEN 500 AND 599")
-    key = F.max(F.col("role").isin(*KEY_ROLES).cast("int")).over(W.partitionBy("site_id")) == 1
+    keys = p.where(F.col("role").isin(*KEY_ROLES)).select("site_id", F.lit(True).alias("has_key")).distinct()
+    key = F.coalesce("has_key", F.lit(False))
+    p = p.join(keys, "site_id", "left")
     p = p.withColumn("listed", F.lit(False)) if sitemap is None else p.join(sitemap.select("site_id", F.col("sitemap_url").alias("url"), F.lit(True).alias("listed")).distinct(), ["site_id", "url"], "left")
     note = F.concat_ws(" ", F.concat(F.lit("HTTP "), F.col("status").cast("string")), F.when(F.col("listed"), "(listed in the sitemap)"))
     return p.select("site_id", "url", F.when(key, "A9_key_page_broken").otherwise("A9_broken_pages").alias("check_id"), F.lit("").alias("key"), note.alias("note"), F.lit("active").alias("status"))
