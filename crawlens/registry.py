@@ -244,12 +244,6 @@ def homepage_links(spark, sf_dir):
     return crawl.homepage_links(p.withColumn("role", F.when(F.col("page_seq") == first, "home").otherwise(F.col("role"))))
 
 
-@query("review_candidates")
-def review_candidates(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    return review.candidates(p, audit.graded_findings(p))
-
-
 @query("retired_checks")
 def retired_checks(spark, sf_dir):
     return review.retired_hits(parsed(spark, sf_dir))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crawlens.functions import elements as nodes
 from crawlens.operators import checks, elements, evaluation, plugins, skips
 from crawlens.plans import audit, profiles, reports
-from crawlens.registry import _BARE, _TITLE, _VARIED, _WALLED, query, varied
+from crawlens.registry import _BARE, _CONTENT, _TITLE, _VARIED, _WALLED, ORACLES, query, varied
 from crawlens.sources.storage import stored
 
 
@@ -278,3 +278,28 @@ def unreadable_sites(spark, sf_dir):
     decided = robots.decisions(no_rules, read.select("site_id", F.lit("Googlebot").alias("agent"), F.lit("/").alias("path")).distinct())
     found = audit.site_findings(reports.stored_sites(read), read, robots.agent_report(decided, spark), robots.unrecognised(no_rules, spark))
     return found.where("check_id = 'A7_site_unreadable'").select("site_id", "evidence", "confidence")
+
+
+# --- oracles of earlier queries -----------------------------------------------------------------------------------------
+_PAGES = f"(SELECT page_id, {_BARE} AS site_id, url, html, {_CONTENT} AS words FROM pages)"
+_RETIRED = ("B5_fact_locked_in_image", "E6_multiple_h1", "X2_no_citation_anchor")
+ORACLES["retired_checks"] = f"""SELECT site_id, url, c.check_id, '' AS key, CAST(CASE c.check_id WHEN '{_RETIRED[0]}' THEN blank WHEN '{_RETIRED[1]}' THEN h1 ELSE h23 END AS VARCHAR) AS note, 'active' AS status
+FROM (SELECT *, {_n('<img src="[^"]*"( alt="")?>')} AS blank, {_n('<h1[ >]')} AS h1, {_n('<h[23][ >]')} AS h23, {_n('<h[23][^>]* id=')} AS anchored FROM {_PAGES}), (VALUES ('{_RETIRED[0]}'), ('{_RETIRED[1]}'), ('{_RETIRED[2]}')) AS c(check_id)
+WHERE CASE c.check_id WHEN '{_RETIRED[0]}' THEN blank >= 3 WHEN '{_RETIRED[1]}' THEN h1 > 1 ELSE h23 >= 3 AND anchored = 0 END
+UNION ALL SELECT site_id, min_by(url, page_id), 'D5_no_corroboration_hooks', '', '', 'active' FROM {_PAGES} GROUP BY site_id HAVING NOT bool_or(len(list_filter({_HREFS}, lambda h: regexp_matches(h, '{_PRESS}'))) > 0)"""
+ORACLES["check_fire_rates"] = f"""WITH n AS (SELECT count(DISTINCT {_BARE}) AS n FROM pages)
+SELECT check_id, count(*) AS findings, count(DISTINCT site_id) AS sites, list_sort(list_distinct(list(severity))) AS severities, count(*) / any_value(n.n) AS rate_by_findings, count(DISTINCT site_id) / any_value(n.n) AS rate_by_sites FROM ({ORACLES['ranked_findings']}), n GROUP BY 1"""
+#: No stored page is a home page or ships a payload; a page with a hundred words and no link in its content is one that leads nowhere.
+ORACLES["proactive_rules"] = f"""SELECT site_id, rule, CASE rule WHEN 'faq_markup' THEN NOT faq WHEN 'citable_facts' THEN NOT same WHEN 'server_render' THEN false WHEN 'first_screen' THEN false WHEN 'deep_routes' THEN deep ELSE true END AS applies
+FROM (SELECT site_id, bool_or(contains(html, 'FAQPage')) AS faq, bool_or(contains(html, 'sameAs')) AS same, bool_or(words >= 100) AS deep FROM {_PAGES} GROUP BY 1), (VALUES ('llms_txt'), ('ai_policy'), ('faq_markup'), ('citable_facts'), ('server_render'), ('first_screen'), ('deep_routes')) AS r(rule)"""
+
+
+@query("review_candidates", _PAGE + f""", w AS (SELECT *, len(regexp_extract_all({_TEXT}, '[^\\s]+')) AS n, {_IN_SCRIPT} AS in_script FROM v WHERE status = 200)
+SELECT site_id, 'on-site' AS mechanism, 'pricing_answer_not_in_opening' AS item, url, [url] AS affected_urls FROM w WHERE role = 'pricing' AND n >= 150 AND NOT (NOT shown AND declared <> '') AND NOT regexp_matches(array_to_string(regexp_extract_all({_TEXT}, '[^\\s]+')[1:120], ' '), '[0-9]')
+UNION ALL SELECT site_id, 'F', 'thin_content_page', url, [url] FROM w WHERE role IN ('pricing', 'product', 'about') AND n < 80 AND NOT in_script""")
+def review_candidates(spark, sf_dir):
+    """Pages that have the shape of a problem no scripted check reports, among pages with planted parts."""
+    from crawlens.operators import review
+
+    p = stored(audit.prepared(planted(spark, sf_dir)), "planted")
+    return review.candidates(p, audit.graded_findings(p))
