@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,15 @@ def test_graph_nodes():
         at["x"] = {"@type": f"T{i}"}
         at = at["x"]
     assert [H.bare_types(n)[0] for n in H.typed_objects(deep)] == [f"t{i}" for i in range(7)]
+
+
+def test_workers_hold_few_pages_at_once(spark, monkeypatch):
+    """Facts take many times the bytes of their page: a batch of pages is turned into facts slice by slice."""
+    sizes = [n for _, n in H.slices(pa.array(["x"] * 1000))]
+    assert max(sizes) <= H.ROWS and sum(sizes) == 1000
+    assert list(H.slices(pa.array(["x" * H.BYTES, None, "y" * H.BYTES * 2, "z", ""]))) == [(0, 1), (1, 2), (3, 2)] and list(H.slices(pa.array([], pa.string()))) == []
+    monkeypatch.setattr(H, "ROWS", 2)
+    rows = [("s", i, "http://[bad" if i == 3 else "u", None if i == 4 else f"<p>{i}</p>" + "<a href='http://[worse'>x</a>" * (i == 3)) for i in range(7)]
+    got = H.parsed(spark.createDataFrame(rows, "site_id string, page_seq long, url string, html string").coalesce(1)).collect()
+    assert [r["page_seq"] for r in got] == list(range(7)) and got[4]["f"] is None
+    assert all(r["f"]["paragraphs"] == [str(i)] for i, r in enumerate(got) if i not in (3, 4))
