@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from crawlens.llm.common import fresh_path, stored, texts
+from crawlens.llm.common import fresh_path, small_batches, stored, texts
 
 BLOCK_BYTES = 2 << 20
 GROUP_BYTES = 16 << 20  # of text for each group of keys
+BLOCKS = 2  # that a worker is handed at once
 NO_ID = np.iinfo(np.int64).max  # a null id counts as the largest
 
 
@@ -77,9 +78,10 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
 
 def _joined(b: Blocks) -> DataFrame:
+    """A block's row carries its own answers only: those of its whole part, in each of its rows, would grow with the square of the part."""
     frame = b.frame
     for name, reply in b.replies.items():
-        frame = frame.join(reply.withColumnRenamed("answers", f"re_{name}").hint("shuffle_hash"), "part", "left")
+        frame = frame.join(reply.hint("shuffle_hash"), "part", "left").withColumn(f"re_{name}", F.col("answers")[F.col("number")]).drop("answers")
     return frame
 
 
@@ -93,7 +95,7 @@ def _read(batch: pa.RecordBatch, names: list[str]) -> Iterator[Block]:
         )
         for n in names:
             got = batch.column(f"re_{n}")[i]
-            block.answers[n] = {x["grp"].as_py(): x["data"].as_py() for x in got if x["number"].as_py() == block.number} if got.is_valid else {}
+            block.answers[n] = {x["grp"].as_py(): x["data"].as_py() for x in got} if got.is_valid else {}
         yield block
 
 
@@ -128,8 +130,10 @@ def exchange(b: Blocks, name: str, ask: Callable[[Block], Iterator[tuple[int, by
 
     sent = mapped(b, asked, "grp int, part int, number int, data binary")
     replies = sent.groupBy("grp").applyInArrow(answered, "grp int, part int, number int, data binary")
-    per_part = replies.groupBy("part").agg(F.collect_list(F.struct("number", "grp", "data")).alias("answers"))  # a few bits for each key of the part
-    b.replies[name] = stored(per_part, f"answers-{name}")
+    per_block = replies.repartition("part").groupBy("part", "number").agg(F.collect_list(F.struct("grp", "data")).alias("own"))  # a few bits for each key of the block
+    per_part = per_block.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("number", "own"))).alias("answers"))
+    with small_batches(b.frame.sparkSession, BLOCKS):
+        b.replies[name] = stored(per_part, f"answers-{name}")
 
 
 def by_group(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:

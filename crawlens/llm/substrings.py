@@ -25,13 +25,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from crawlens.llm.blocks import Block, blocks, earliest, exchange, gathered, mapped, mixed, packed, split, unpacked
+from crawlens.llm.blocks import BLOCKS, Block, blocks, earliest, exchange, gathered, mapped, mixed, packed, split, unpacked
 from crawlens.llm.common import small_batches, stored, table, utf8
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BLOCKS = 2  # that a worker is handed at once
 
 
 def windows_hashed(w: np.ndarray, width: int) -> np.ndarray:
@@ -128,9 +127,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ids = [None if null else i for i, null in zip(block.ids.tolist(), block.nulls)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in w.words], pa.int64()), pa.array(n_removed, pa.int64()), pa.array([utf8(x) for x in text], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    with small_batches(docs.sparkSession, BLOCKS):
-        exchange(made, "anchors", ask_anchors, _twice)
-        exchange(made, "windows", ask_windows, earliest)
+    exchange(made, "anchors", ask_anchors, _twice)
+    exchange(made, "windows", ask_windows, earliest)
     return mapped(made, kept, "doc_id long, n_words long, n_removed long, kept string")
 
 

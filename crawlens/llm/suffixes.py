@@ -12,8 +12,9 @@ of ANCHOR bytes with the smallest hash (the leftmost of several): equal strings
 strings of one anchor occurrence are a run of neighbours, whose bytes are its span. A first exchange tells for each
 anchor whether it occurs again, and whether with different spans; a second which occurrence of a span is the earliest
 (later ones go whole). What is left, the earliest occurrences of different spans around a common anchor, is
-transformed and expanded. An anchor that more than HOT blocks share is not gathered: its strings go one by one through
-the second exchange, where every block has reduced them to one record each.
+transformed and expanded. An anchor that more than HOT blocks share, or whose different spans have more than HEAVY bytes (by
+sums that each block rounds up by a fifth at most), is not gathered, because a transform takes some hundred times the memory of its text: its strings go one
+by one through the second exchange, where every block has reduced them to one record each.
 
 Defined cases: null and empty texts have no bytes; texts of fewer than LENGTH bytes stay; matches never cross documents;
 overlapping strings count; an earlier start in the same document counts; of equal documents the one with the smallest id
@@ -30,14 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crawlens.llm.blocks import Block, blocks, earliest, exchange, gathered, mapped, mixed, packed, split, unpacked
-from crawlens.llm.common import table
+from crawlens.llm.blocks import BLOCKS, Block, blocks, earliest, exchange, gathered, mapped, mixed, packed, split, unpacked
+from crawlens.llm.common import small_batches, stored, table
 
 LENGTH, ANCHOR = 100, 32
-HOT = 4096
+HOT, HEAVY = 4096, 2 << 20
 CHUNK = 1 << 20
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+SIDE = np.uint64(255)  # bits of an anchor's mark beside its span
 ALONE, SAME, OTHERS, CROWD = 0, 1, 2, 3  # what the first exchange says of an anchor
 
 
@@ -141,12 +143,18 @@ class Runs:
         return at - self.begins[self.doc[at]]
 
     def anchors(self):
-        """Different keys, the runs' numbers among them, and a mark: the span that all of a key's runs have (0: several), its last bit set if there are several runs."""
+        """Different keys, the runs' numbers among them, and a mark: 56 bits of the span that all of a key's runs have (0: several), 7 of the bytes of their different spans, as four times a logarithm, and the last one set if there are several runs."""
         keys, inverse, counts = np.unique(self.keys, return_inverse=True, return_counts=True)
         low, high = np.full(len(keys), ~np.uint64(0)), np.zeros(len(keys), np.uint64)
         np.minimum.at(low, inverse, self.spans)
         np.maximum.at(high, inverse, self.spans)
-        mark = np.where(low == high, low & ~np.uint64(1), np.uint64(0)) | (counts > 1).astype(np.uint64)
+        order = np.lexsort((self.spans, inverse))
+        new = np.ones(len(order), bool)
+        new[1:] = (inverse[order][1:] != inverse[order][:-1]) | (self.spans[order][1:] != self.spans[order][:-1])
+        one = order[new]
+        held = np.bincount(inverse[one], self.hi[one] + LENGTH - self.lo[one], len(keys))
+        size = np.ceil(4 * np.log2(held)).astype(np.uint64) if len(keys) else np.zeros(0, np.uint64)
+        mark = np.where(low == high, low & ~SIDE, np.uint64(0)) | (np.minimum(size, np.uint64(127)) << np.uint64(1)) | (counts > 1).astype(np.uint64)
         return keys, inverse, mark
 
 
@@ -156,12 +164,13 @@ def _told(sent: list[bytes]) -> list[bytes | None]:
     keys, marks = np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables]).view(np.uint64)
     uniq, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     low, high = np.full(len(uniq), ~np.uint64(0)), np.zeros(len(uniq), np.uint64)
-    span = marks & ~np.uint64(1)
+    span = marks & ~SIDE
+    held = np.bincount(inverse, np.exp2(((marks & SIDE) >> np.uint64(1)).astype(np.float64) / 4), len(uniq))
     np.minimum.at(low, inverse, span)
     np.maximum.at(high, inverse, span)
     several = counts > 1
     np.logical_or.at(several, inverse, (marks & np.uint64(1)).astype(bool))
-    code = np.where(~several, ALONE, np.where((low == high) & (low != 0), SAME, np.where(counts > HOT, CROWD, OTHERS))).astype(np.uint8)
+    code = np.where(~several, ALONE, np.where((low == high) & (low != 0), SAME, np.where((counts > HOT) | (held > HEAVY), CROWD, OTHERS))).astype(np.uint8)
     out = code[inverse]
     return [x.tobytes() if x.any() else None for x in np.split(out, np.cumsum([len(t[0]) for t in tables])[:-1])]
 
@@ -318,7 +327,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def query(spark, sf_dir):
-    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    with small_batches(spark, BLOCKS):
+        return stored(removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "kept")
 
 
 #: Bytes as hex digits: a string of 100 bytes is 200 digits from an odd place. Covered starts merge into runs by islands.
