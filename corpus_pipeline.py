@@ -25,7 +25,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles of 0.8 or more) stays, the one with the smallest id."""
+    """One document of each group of near-duplicates stays, the one with the smallest id: linked by SimHash, confirmed and completed by the Jaccard similarity of five-word shingles (0.8 or more)."""
     _few_rows(spark)
     return similar.one_of_each(docs)
 

@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: every pair at or above the bound is linked, none by chance.
+"""Near-duplicates by SimHash, confirmed and completed by the Jaccard similarity of word shingles: every pair at or above the bound is linked, none by chance.
+
+SimHash comes first: fingerprints of the texts' shingles are linked within BITS bits by the generalised pigeonhole (``simhash.links``), and each set is
+verified against the first of its class. Bits are no proof, and most pairs at the bound differ in more of them, so an exact search follows for what they leave apart.
 
 Two sets of similarity t or more share an element among the first ``n - ceil(t * n) + 1`` of each, whatever the order of
 elements (prefix filter). The order is by how many shingles fall into a shingle's bin, of 2^BINS bins of their hashes: one that even some tens of sets share
@@ -27,10 +30,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from crawlens.llm import simhash
 from crawlens.llm.common import freed, fresh_path, small_batches, stored, texts
 from crawlens.llm.components import components
 
 WIDTH, SEED = 5, 42
+#: Differing bits of two fingerprints that link them.
+BITS = 2
 #: The bound on the similarity, as a fraction.
 UP, DOWN = 4, 5
 BINS, BLOCK = 20, 12  # bits: of bins, and of the bins of a packed block of counts
@@ -115,7 +121,7 @@ def _order(counts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, order: np.ndarray, text_col: str) -> DataFrame:
-    """``(node, n, prefix, sketch, wide, h)``: each set's key, size, first shingles, sketches, and all shingles in 32 bits. A task gives each set once."""
+    """``(node, fp, n, prefix, sketch, wide, h)``: each set's key, SimHash fingerprint, size, first shingles, sketches, and all shingles in 32 bits. A task gives each set once."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +134,11 @@ def _prefixes(docs: DataFrame, order: np.ndarray, text_col: str) -> DataFrame:
                     continue
                 seen.add(key)
                 at = np.argsort(common[(own >> np.uint64(64 - BINS)).astype(np.int64)], kind="stable")
-                rows.append((key, len(own), own[at[: prefix_size(len(own))]].view(np.int64), sketch(own), sketch(own, WIDE) if len(own) > LONG else (), folded(own)))
-            keys, sizes, parts, bits, wide, sets = zip(*rows) if rows else ((), (), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "n", "prefix", "sketch", "wide", "h"])
+                rows.append((key, simhash.fingerprint(t, WIDTH, SEED), len(own), own[at[: prefix_size(len(own))]].view(np.int64), sketch(own), sketch(own, WIDE) if len(own) > LONG else (), folded(own)))
+            keys, fps, sizes, parts, bits, wide, sets = zip(*rows) if rows else ((),) * 7
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "fp", "n", "prefix", "sketch", "wide", "h"])
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "node long, n int, prefix array<long>, sketch array<long>, wide array<long>, h array<int>")
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "node long, fp long, n int, prefix array<long>, sketch array<long>, wide array<long>, h array<int>")
 
 
 def folded(hashes: np.ndarray) -> np.ndarray:
@@ -151,7 +157,7 @@ def _possible(a: Column, b: Column) -> Column:
 
 def _placed(prefixes: DataFrame) -> DataFrame:
     """Each set once, whatever the number of tasks that met it, in buckets of its node: joins then move the pairs to the sets."""
-    sets = prefixes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "sketch", "wide", "h")))
+    sets = prefixes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "prefix", "sketch", "wide", "h")))
     spark, name = sets.sparkSession, f"crawlens_sets_{uuid.uuid4().hex}"
     buckets = min(50_000, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     with freed(spark):
@@ -182,14 +188,23 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(components(edges), "node", "left").select("token", "size", "m", F.coalesce("label", "node").alias("label"))
 
 
-def _links(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """``shared(token, node, n, i, size)`` → edges ``(a, b)`` whose components are those of all pairs at the bound."""
+def by_fingerprints(sets: DataFrame, bits: int = BITS) -> DataFrame:
+    """Edges ``(a, b)`` between the sets of each SimHash class (fingerprints linked within so many bits) and its first set, where they reach the bound."""
+    own = sets.select("node", "fp")
+    labels = stored(components(simhash.links(own.select("fp").distinct(), bits)), "fingerprints").withColumnRenamed("node", "fp")
+    classed = stored(own.join(labels, "fp", "left").select("node", F.coalesce("label", "fp").alias("label")), "fingerprints")
+    first = classed.groupBy("label").agg(F.min("node").alias("a"))
+    return stored(_verified(classed.join(first, "label").where("node <> a").select("a", F.col("node").alias("b")), sets), "similar")
+
+
+def _links(shared: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
+    """``shared(token, node, n, i, size)`` → edges ``(a, b)`` whose components, with those of ``near``, are those of all pairs at the bound."""
     member = F.struct("node", "n", "i")
     groups = shared.where(F.col("size") <= DENSE).groupBy("token").agg(F.collect_list(member).alias("group"))  # DENSE members at most
     thin = groups.select("group", F.explode("group").alias("one")).select(
         F.col("one.node").alias("a"), F.explode(F.filter("group", lambda x: (x["node"] > F.col("one.node")) & _possible(x, F.col("one")))["node"]).alias("b")
     )
-    edges = stored(_verified(thin, sets), "similar")
+    edges = stored(near.union(_verified(thin.join(near, ["a", "b"], "left_anti"), sets)), "similar")
     dense = stored(shared.where(F.col("size") > DENSE).select("token", "node", "size", member.alias("m")), "dense")
     if not dense.limit(1).count():
         return edges
@@ -220,7 +235,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     probes = sets.select("node", "n", F.posexplode("prefix").alias("i", "token"))
     met = probes.withColumn("size", F.count("*").over(W.partitionBy("token")))  # one shuffle; a token's rows are buffered on disk where they are many
     shared = stored(met.where("size > 1").select("token", "node", "n", "i", "size"), "probes")
-    labels = stored(components(_links(shared, sets)), "labels")
+    labels = stored(components(_links(shared, sets, by_fingerprints(sets))), "labels")
     classes = firsts.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min(F.struct("first", "node")).alias("least"))
     known = stored(classes.join(least, "label").select("node", F.col("least.first").alias("first"), F.col("least.node").alias("stays")), "classes")

@@ -2,8 +2,9 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
-from crawlens.llm import suffixes
+from crawlens.llm import similar, simhash, suffixes
 from crawlens.llm.blocks import _joined, blocks, exchange, packed
 
 
@@ -28,3 +29,18 @@ def test_heavy_anchors_go_string_by_string(spark, monkeypatch):
     gathered = got()
     monkeypatch.setattr(suffixes, "HEAVY", 1)
     assert got() == gathered and sum(r[1] for r in gathered) >= 30 * len(line) - 100
+
+
+def test_stage_links_by_simhash_first(spark, monkeypatch):
+    """The stage's classes come through SimHash: without its exact search it still drops copies and what differs in two bits, and nothing below the bound."""
+    asked, before = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, d=2, dense=simhash.DENSE: asked.append(d) or before(fps, d, dense))
+    monkeypatch.setattr(similar, "_links", lambda shared, sets, near: near)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(1500)) for _ in range(12)]
+    texts += [t + f" and so on {i}" for i, t in enumerate(texts[:8])] + [texts[0].upper()]
+    far = [bin(simhash.fingerprint(texts[i].encode(), 5) ^ simhash.fingerprint(texts[12 + i].encode(), 5)).count("1") for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert asked == [similar.BITS] and any(0 < n <= 2 for n in far)
+    assert got == set(range(12)) | {12 + i for i, n in enumerate(far) if n > 2}
