@@ -52,18 +52,19 @@ def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
         rank <<= 9
         rank[: n - i] |= text[i:]
     rank = np.unique(rank, return_inverse=True)[1]
-    while k <= length:
+    while k <= length and rank.max() < n - 1:  # once all differ, longer prefixes keep the order
         after = np.zeros(n, np.int64)
         after[: max(0, n - k)] = rank[k:] + 1
         rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
         k *= 2
     sa = np.argsort(rank, kind="stable")
-    bwt = text[sa - 1]
+    bwt = text[sa - 1].astype(np.uint16)  # narrow enough for a sort by digits
     order = np.argsort(bwt, kind="stable")
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)  # the row of the suffix one symbol longer
     bucket = np.zeros(n, bool)  # first rows of the symbols
-    bucket[np.searchsorted(bwt[order], np.unique(bwt))] = True
+    held = np.bincount(bwt)
+    bucket[(np.cumsum(held) - held)[held > 0]] = True
     known = np.zeros(n + 1, bool)  # rows whose common prefix with the row before is shorter than the rounds so far
     known[[0, n]] = True
     left, right = np.array([0]), np.array([n])
@@ -96,6 +97,16 @@ def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
     return out[:-1]
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i for i below n; a worker keeps those of its largest block."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = np.cumprod(np.full(n, BASE)) * INVERSE, np.cumprod(np.full(n, INVERSE)) * BASE
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Runs:
     """A block's strings of LENGTH bytes, as runs with a common anchor."""
 
@@ -111,11 +122,10 @@ class Runs:
         if n < LENGTH:
             return
         symbol = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-        down = np.cumprod(np.full(n, INVERSE)) * BASE  # BASE ** -i
-        self.up = np.cumprod(np.full(n, BASE)) * INVERSE
+        self.up, down = _powers(n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(symbol[self.data] * down, out=self.sums[1:])
-        h = self.hashed(np.arange(n - ANCHOR + 1), ANCHOR)
+        h = mixed((self.sums[ANCHOR:] - self.sums[:-ANCHOR]) * self.up[: n - ANCHOR + 1])
         bits = np.uint64(max(1, int(n).bit_length()))
         least = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
         span, width = LENGTH - ANCHOR + 1, 1
@@ -124,7 +134,10 @@ class Runs:
             width *= 2
         if span > width:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        own = np.flatnonzero(self.ends[self.doc[: len(least)]] - np.arange(len(least)) >= LENGTH)
+        fits = np.ones(n, bool)  # bytes at which a string of the document starts
+        for a, b in zip(self.begins.tolist(), self.ends.tolist()):
+            fits[max(a, b - LENGTH + 1) : b] = False
+        own = np.flatnonzero(fits[: len(least)])
         if not len(own):
             return
         at = (least[own] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -212,6 +225,16 @@ def runs_code(q: Questions, runs: np.ndarray) -> np.ndarray:
     return q.code[runs]
 
 
+def _earliest_of(classes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each class the string with the smallest (document, place). Strings come in that order but where rows repeat an id; those are sorted."""
+    down = np.arange(len(classes))[::-1]
+    if np.any((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (place[1:] < place[:-1]))):
+        down = np.lexsort((place, doc))[::-1]
+    first = np.zeros(int(classes.max(initial=-1)) + 1, np.int64)
+    first[classes[down]] = down  # the last one written is the earliest
+    return first
+
+
 def _expanded(sent: list[bytes]) -> list[bytes | None]:
     """For each context, one bit per string: 1 where an earlier context has the same string."""
     meta, data = [], []
@@ -236,6 +259,7 @@ def _expanded(sent: list[bytes]) -> list[bytes | None]:
         own = order[a:b]
         if not len(own):
             continue
+        own = own[np.lexsort((place[own], doc[own]))]  # so that strings come in the order of their places
         sizes = size[own]
         begin = np.cumsum(sizes + 1) - sizes - 1
         text = np.ones(int(sizes.sum()) + len(own), np.int64)  # 1 parts the contexts
@@ -247,12 +271,8 @@ def _expanded(sent: list[bytes]) -> list[bytes | None]:
         which = np.repeat(np.arange(len(own)), counts)
         cls = classes[step + begin[which]]
         d, p = doc[own][which], (place[own])[which] + step
-        by = np.lexsort((p, d, cls))
-        first = np.ones(len(by), bool)
-        first[1:] = cls[by][1:] != cls[by][:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-        later = np.zeros(len(by), bool)
-        later[by] = (d[by] != d[by][lead]) | (p[by] != p[by][lead])
+        lead = _earliest_of(cls, d, p)[cls]
+        later = (d != d[lead]) | (p != p[lead])
         for c, x in zip(own.tolist(), np.split(later, np.cumsum(counts)[:-1])):
             bits[c] = x
     out = []

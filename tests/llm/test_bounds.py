@@ -44,3 +44,30 @@ def test_stage_links_by_simhash_first(spark, monkeypatch):
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert asked == [similar.BITS] and any(0 < n <= 2 for n in far)
     assert got == set(range(12)) | {12 + i for i, n in enumerate(far) if n > 2}
+
+
+def test_a_worker_hashes_its_blocks_with_one_table_and_finds_the_earliest_without_a_sort(monkeypatch):
+    from types import SimpleNamespace
+
+    from crawlens.llm import suffixes
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (400, 99, 0, 100, 2_000, 101)]
+    suffixes._POWERS.clear()
+    alone = suffixes.Runs(SimpleNamespace(texts=texts[3:]))
+    whole = suffixes.Runs(SimpleNamespace(texts=texts))
+    again = suffixes.Runs(SimpleNamespace(texts=texts[3:]))
+    assert len(suffixes._POWERS[0]) == sum(map(len, texts)) and whole.up.base is again.up.base
+    assert alone.keys.tolist() == again.keys.tolist() == whole.keys[-len(alone.keys) :].tolist()
+    held = sum((whole.hi - whole.lo + 1).tolist())
+    assert held == sum(max(0, len(t) - suffixes.LENGTH + 1) for t in texts)
+    for ids in (50, 2):  # rows with ids of their own, and rows that repeat one
+        doc, place, cls = rng.integers(0, ids, 300), rng.integers(0, 9, 300), rng.integers(0, 20, 300)
+        if ids == 50:
+            by = np.lexsort((place, doc))
+            doc, place = doc[by], place[by]
+            monkeypatch.setattr(suffixes.np, "lexsort", None)
+        first = suffixes._earliest_of(cls, doc, place)
+        monkeypatch.undo()
+        for c in set(cls.tolist()):
+            assert (doc[first[c]], place[first[c]]) == min((d, p) for d, p, k in zip(doc.tolist(), place.tolist(), cls.tolist()) if k == c)
