@@ -23,7 +23,7 @@ class Sites(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", "last long, longest long, run long, pages long, ok long")
-        self.waiting = handle.getMapState("waiting", "page_seq long", "status int, at long")
+        self.waiting = handle.getListState("waiting", "page_seq long, status int, at long")
 
     def _settled(self) -> list:
         return list(self.settled.get()) if self.settled.exists() else [None, 0, 0, 0, 0]
@@ -34,17 +34,24 @@ class Sites(StatefulProcessor):
         run = run + 1 if status == REFUSED else 0
         return [number, max(longest, run), run, pages + 1, ok + (200 <= status <= 299)]
 
-    def _settle(self, upto: int) -> list:
-        """Settle what the watermark has passed, as far as nothing before it may still come; the state with all that waits besides."""
-        state, open_ = self._settled(), True
-        now = state
-        for (number,), (status, at) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+    def _waiting(self) -> dict:
+        return {number: (status, at) for number, status, at in map(tuple, self.waiting.get())} if self.waiting.exists() else {}
+
+    def _settle(self, state: list, waiting: dict, upto: int) -> list:
+        """Settle what the watermark has passed, as far as nothing before it may still come; the state with all that waits besides. A site's state is read and written as a whole, not fetch by fetch."""
+        now, open_, left = state, True, []
+        for number, (status, at) in sorted(waiting.items()):
             now = self._after(now, number, status)
             open_ = open_ and at <= upto
             if open_:
                 state = now
-                self.waiting.removeKey((number,))
+            else:
+                left.append((number, status, at))
         self.settled.update(tuple(state))
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
         return now
 
     def _told(self, key, now: list) -> Row:
@@ -53,20 +60,20 @@ class Sites(StatefulProcessor):
         return Row(site_id=key[0], longest=longest, pages=pages, ok=ok, run_status=status)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = self._settled()[0]
-        latest = 0
+        state, waiting = self._settled(), self._waiting()
+        last, latest = state[0], 0
         for r in rows:
-            number, at = (r["page_seq"],), int(r["at"].timestamp() * 1000)
-            if (last is None or r["page_seq"] > last) and not self.waiting.containsKey(number):
-                self.waiting.updateValue(number, (r["status"], at))
+            number = r["page_seq"]
+            if (last is None or number > last) and number not in waiting:
+                waiting[number] = (r["status"], at := int(r["at"].timestamp() * 1000))
                 latest = max(latest, at)
-        now = self._settle(timerValues.getCurrentWatermarkInMs())
+        now = self._settle(state, waiting, timerValues.getCurrentWatermarkInMs())
         if latest:
             self.handle.registerTimer(latest + 1)  # what waits is settled even if the site sends no more
         yield self._told(key, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self._settle(timerValues.getCurrentWatermarkInMs())
+        self._settle(self._settled(), self._waiting(), timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def close(self) -> None:
