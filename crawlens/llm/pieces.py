@@ -7,7 +7,7 @@ of place. Each candidate that is taken from the agenda is skipped with probabili
 neighbours become candidates. Every occurrence draws for itself: the numbers of candidates between its skips are geometric,
 from a keyed hash of (document's key, chunk's number in the document, seed).
 
-All chunks of some MB of text are worked out side by side as array operations. A segmentation depends on the chunk and on
+All chunks of some hundred KB of text are worked out side by side as array operations. A segmentation depends on the chunk and on
 which of its candidates were skipped, so that a state (chunk, up to DEPTH skips) that occurs again comes from a memo: states form a
 tree whose edges are the skipped candidates, and an occurrence walks down until its next skip lies beyond the state's last
 candidate. Occurrences with more skips, chunks of more than LONG characters and chunks seen once run their own agenda with
@@ -38,14 +38,14 @@ from crawlens.llm.common import table, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL = 64 << 20
 DROPOUT, SEED = 0.1, 1
-MEMO, SYMBOLS, DEPTH, LONG = 1_000_000, 8_000_000, 3, 32
+MEMO, SYMBOLS, DEPTH, LONG = 250_000, 2_000_000, 3, 32
 MARK = "▁"
 FULL, VARY = (1 << 64) - 1, 0x8CB92BA72F3D8DD7
 WIDTHS, NONE, NEVER = (4, 6, 8, 12, 16, 24, 32, 64, 128), (1 << 31) - 1, 1 << 40
 PLACE = 7  # bits of a place within a chunk
 SLOTS = 20  # bits of the table of joins
 DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "lossless"]
-GROUP = 4_000_000  # bytes of text that are encoded together
+GROUP = 400_000  # bytes of text that are encoded together
 
 
 class Rows:

@@ -71,3 +71,29 @@ def test_a_worker_hashes_its_blocks_with_one_table_and_finds_the_earliest_withou
         monkeypatch.undo()
         for c in set(cls.tolist()):
             assert (doc[first[c]], place[first[c]]) == min((d, p) for d, p, k in zip(doc.tolist(), place.tolist(), cls.tolist()) if k == c)
+
+
+def test_encoding_a_batch_takes_little_memory():
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from crawlens.llm import pieces
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghinorst", k=rng.randint(2, 9))) for _ in range(400)).encode() for _ in range(512)]
+    with open(pieces.MODEL, "rb") as f:
+        own = pieces.tables(f.read())
+    docs = pieces.Pieces(own)
+    groups, size = [[]], 0
+    for t in texts:
+        groups[-1].append(t)
+        if (size := size + len(t)) >= pieces.GROUP:
+            groups, size = [*groups, []], 0
+    tracemalloc.start()
+    for g in groups:
+        docs.encode_many(g, np.arange(len(g)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
