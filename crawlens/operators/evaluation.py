@@ -41,10 +41,10 @@ def problems(runs: DataFrame, findings: DataFrame, reports: DataFrame) -> DataFr
     return out
 
 
-def fire_rate(findings: DataFrame, n_readable: int) -> DataFrame:
-    """Per check: findings, sites, severities, and the rate both by findings and by distinct sites. ``n_readable`` counts the sites whose run is one of RAN."""
+def fire_rate(findings: DataFrame, n_readable: int, counted: str = "*") -> DataFrame:
+    """Per check: findings, sites, severities, and the rate both by findings and by distinct sites. ``n_readable`` counts the sites whose run is one of RAN; ``counted="slug"`` leaves findings of no site out of both counts."""
     said = F.col("severity") if "severity" in findings.columns else F.lit(None).cast("string")
-    g = findings.groupBy("check_id").agg(F.count("*").alias("findings"), F.count_distinct("slug").alias("sites"), F.array_sort(F.collect_set(said)).alias("severities"))
+    g = findings.groupBy("check_id").agg(F.count(counted).alias("findings"), F.count_distinct("slug").alias("sites"), F.array_sort(F.collect_set(said)).alias("severities"))
     return g.withColumn("rate_by_findings", F.col("findings") / max(1, n_readable)).withColumn("rate_by_sites", F.col("sites") / max(1, n_readable))
 
 
