@@ -34,6 +34,15 @@ COVERED = (
 PRESS = r"(?i)(^|/)(press|newsroom|news|media-cent(er|re)|in-the-news)(/|$|\?|#)"
 
 
+def _met(rows: DataFrame, others: DataFrame, *keys: str, how: str) -> DataFrame:
+    """A semi or anti join on the site and ``keys``; pages without a site are of one."""
+    o = others.select(*(F.col(c).alias(f"o_{c}") for c in ("site_id", *keys)))
+    on = F.col("site_id").eqNullSafe(F.col("o_site_id"))
+    for c in keys:
+        on &= F.col(c) == F.col(f"o_{c}")
+    return rows.join(o, on, how)
+
+
 def candidates(parsed: DataFrame, scripted: DataFrame, page: str = "url") -> DataFrame:
     """``(site_id, mechanism, item, url, affected_urls)``: pages that have the shape of a problem no scripted check reports.
 
@@ -69,8 +78,8 @@ def candidates(parsed: DataFrame, scripted: DataFrame, page: str = "url") -> Dat
     rows = rows.unionByName(brands.select("site_id", F.col("n")[0]["page"].alias("_page"), F.lit("D").alias("mechanism"), F.lit("brand_name_differs_across_pages").alias("item"), F.col("n")[0]["url"].alias("url"), F.col("n.url").alias("affected_urls"), F.col("n.page").alias("pages")))
     cover = parsed.sparkSession.createDataFrame(list(COVERED), "item string, check_id string")
     told = scripted.select("site_id", "check_id", F.explode("affected_urls").alias("u")).join(F.broadcast(cover), "check_id").select("site_id", "item", "u").distinct()
-    hit = rows.select("site_id", "item", "_page", F.explode("pages").alias("u")).join(told, ["site_id", "item", "u"], "left_semi").select("site_id", "item", "_page").distinct()
-    return rows.join(hit, ["site_id", "item", "_page"], "left_anti").select("site_id", "mechanism", "item", "url", "affected_urls")
+    hit = _met(rows.select("site_id", "item", "_page", F.explode("pages").alias("u")), told, "item", "u", how="left_semi").select("site_id", "item", "_page").distinct()
+    return _met(rows, hit, "item", "_page", how="left_anti").select("site_id", "mechanism", "item", "url", "affected_urls")
 
 
 def dispositions(given: DataFrame, wanted: DataFrame, accepted: DataFrame, min_reason: int = 25, reuse: int = 3) -> DataFrame:
