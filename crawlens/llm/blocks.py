@@ -24,6 +24,7 @@ from crawlens.llm.common import fresh_path, small_batches, stored, texts
 BLOCK_BYTES = 2 << 20
 GROUP_BYTES = 16 << 20  # of text for each group of keys
 BLOCKS = 2  # that a worker is handed at once
+ROW_GROUP = 8 << 20  # bytes of a stored row group, which a writer and a reader hold whole
 NO_ID = np.iinfo(np.int64).max  # a null id counts as the largest
 
 
@@ -71,7 +72,9 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     made = source.mapInArrow(run, "part int, number int, ids array<long>, texts array<binary>, size long")
     buckets = max(1, min(50_000, source.rdd.getNumPartitions()))
     name = f"crawlens_blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(buckets, "part").option("path", fresh_path(spark, "blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    # A row is some MB: its group's size is looked at after each row (by default after 100 at least), so that memory does not follow the scan task's share of the input.
+    groups = {"parquet.block.size": str(ROW_GROUP), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    made.write.bucketBy(buckets, "part").option("path", fresh_path(spark, "blocks")).option("compression", "zstd").options(**groups).format("parquet").saveAsTable(name)
     frame = spark.table(name)
     total = frame.agg(F.sum("size").alias("n")).head()["n"] or 0
     return Blocks(frame, int(max(4, -(-total // GROUP_BYTES))))
